@@ -173,13 +173,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """`docs` without the documents that contain an item; a filter, without any shuffle."""
-    spark = docs.sparkSession
     for items in slices(benchmark, item_col, "text"):
-        shipped = spark.sparkContext.broadcast(items)
+        docs = docs.filter(~_dirty(docs.sparkSession.sparkContext.broadcast(items), similarity)(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def dirty(texts: pd.Series, shipped=shipped) -> pd.Series:
-            return pd.Series([bool(len(s := text_shingles(t)[0]) and shipped.value.match(s, similarity)) for t in texts], dtype=bool)
 
-        docs = docs.filter(~dirty(F.col(text_col)))
-    return docs
+def _dirty(shipped, similarity: float):
+    @F.pandas_udf("boolean")
+    def dirty(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(len(s := text_shingles(t)[0]) and shipped.value.match(s, similarity)) for t in texts], dtype=bool)
+
+    return dirty
