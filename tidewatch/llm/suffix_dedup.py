@@ -122,23 +122,28 @@ def repeats(strings: list[bytes], places: np.ndarray) -> list[np.ndarray]:
 
     Equal windows have equal anchor places, so places are done in blocks, and a family only holds a block's windows.
     """
+    # equal runs repeat each other; one of each goes on
+    seen: dict[tuple[int, bytes], int] = {}
+    of = [seen.setdefault((p, s), len(seen)) for p, s in zip(places.tolist(), strings, strict=True)]
+    copies = np.bincount(of, minlength=len(seen))
+    strings, places = [s for _, s in seen], np.array([p for p, _ in seen])
     n = np.array([len(s) - LENGTH + 1 for s in strings])
     offset = np.concatenate(([0], np.cumsum(n)))
-    repeated = np.zeros(offset[-1], bool)
+    repeated = np.repeat(copies > 1, n)
     for low in range(0, LENGTH, BLOCK):
+        # window j of a run has its anchor at places[i] - j
+        first, last = np.maximum(0, places - low - BLOCK + 1), np.minimum(n, places - low + 1)
+        mine = np.flatnonzero(first < last)
         family = SuffixLevels()
-        for at in range(0, len(strings), BATCH):
+        for at in range(0, len(mine), BATCH):
             found, numbers = [], []
-            for i in range(at, min(at + BATCH, len(strings))):
-                # window j has its anchor at places[i] - j
-                a, b = max(0, places[i] - low - BLOCK + 1), min(n[i], places[i] - low + 1)
-                if a < b:
-                    piece = np.frombuffer(strings[i], np.uint8)[a : b + LENGTH - 1]
-                    found.append(np.lib.stride_tricks.sliding_window_view(piece, LENGTH))
-                    numbers.append(np.arange(offset[i] + a, offset[i] + b))
-            if found:
-                family.add(np.ascontiguousarray(np.concatenate(found)).view(f"S{LENGTH}").ravel(), np.concatenate(numbers), repeated)
-    return [repeated[offset[i] : offset[i + 1]] for i in range(len(strings))]
+            for i in mine[at : at + BATCH].tolist():
+                a, b = first[i], last[i]
+                piece = np.frombuffer(strings[i], np.uint8)[a : b + LENGTH - 1]
+                found.append(np.lib.stride_tricks.as_strided(piece, (b - a, LENGTH), (1, 1)))
+                numbers.append(np.arange(offset[i] + a, offset[i] + b))
+            family.add(np.concatenate(found).view(f"S{LENGTH}").ravel(), np.concatenate(numbers), repeated)
+    return [repeated[offset[i] : offset[i + 1]] for i in of]
 
 
 def spans(starts: np.ndarray) -> list[tuple[int, int]]:
