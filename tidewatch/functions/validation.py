@@ -79,9 +79,9 @@ def validate(raw: DataFrame, stream: str, value: str = "value") -> DataFrame:
     out = [F.col(c) for c in raw.columns] + [F.col(f"_{n}").alias(n) for n in names]
     out += [F.col("_ems").alias("event_ms"), F.timestamp_millis(F.col("_ems")).alias("event_ts")]
     if article:
-        out += [F.col("_num").cast("int").alias("version"), F.try_variant_get(F.col("_v"), "$.tags", "array<string>").alias("tags")]
+        out += [F.col("_num").try_cast("int").alias("version"), F.try_variant_get(F.col("_v"), "$.tags", "array<string>").alias("tags")]
     else:
-        out += [F.col("_num").cast("int").alias("read_duration_ms")]
+        out += [F.col("_num").try_cast("int").alias("read_duration_ms")]
     return df.withColumn("error_message", error).select(*out, "error_message")
 
 
