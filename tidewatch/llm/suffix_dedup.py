@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from tidewatch.llm.hashing import mix
 from tidewatch.llm.joins import stored
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 32
 SIDE = (LENGTH - GRAM) // 2
 #: cores with more runs than this are dealt in blocks of BLOCK windows
 HOT, BLOCK = 4096, 17
@@ -74,8 +74,10 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             first = np.concatenate(([0], np.flatnonzero(np.diff(place * 2 + left)) + 1))
             p, left = place[first], left[first]
             # the core that all windows of a run hold: the anchor, and SIDE bytes on the longer side of it
-            one, two = np.where(left, p - GRAM, p + GRAM), np.where(left, p - SIDE, p + SIDE)
-            core = mix(h[p] * _P + h[one] * (_P * _P) + h[two] * (_P * _P * _P) + left.astype(np.uint64))
+            core = h[p] + left.astype(np.uint64)
+            for step in (*range(GRAM, SIDE, GRAM), SIDE):
+                core = core * _P + h[np.where(left, p - step, p + step)]
+            core = mix(core)
             parts.append((core.view(np.int64), first + at, np.diff(np.concatenate((first, [n]))), p - first))
     if not parts:
         e = np.empty(0, np.int64)
@@ -177,13 +179,17 @@ def _bytes(text: str) -> bytes:
 
 def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
-        out = []
+        out, size = [], 0
         for dk, text in zip(p["_dk"], p["_text"], strict=True):
             data = _bytes(text)
             a, s, w, place = runs(data)
             if len(a):
                 r = np.fromiter((xxhash.xxh3_64_intdigest(data[x : x + n + LENGTH - 1], q) for x, n, q in zip(s.tolist(), w.tolist(), place.tolist(), strict=True)), np.uint64, len(a))
                 out.append(np.stack((np.full(len(a), dk, np.int64), a, r.view(np.int64), s, w, place)))
+                size += len(a)
+            if size > 100_000:
+                yield pd.DataFrame(dict(zip(RUNS.names, np.concatenate(out, axis=1), strict=True)))
+                out, size = [], 0
         if out:
             yield pd.DataFrame(dict(zip(RUNS.names, np.concatenate(out, axis=1), strict=True)))
 
