@@ -147,7 +147,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score (the cosine, at least 0) of every row."""
-    names, matrix = list(model), np.array(list(model.values()), np.float32).reshape(len(model), -1)
+    names, matrix = list(model), np.array(list(model.values()), np.float32)
     schema = docs.select(F.col(id_col), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def one(text: str | None) -> tuple[str, float]:

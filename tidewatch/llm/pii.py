@@ -3,7 +3,7 @@
 Numbers and dates that pass their format's validation are permuted within the format by a keyed Feistel
 network, so a value has the same pseudonym in every document, and different values have different ones:
 
-- payment cards: 13 to 19 digits with a right check digit; the digits before it are permuted, it is made anew
+- payment cards: 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5, with a right check digit; the digits before it are permuted, it is made anew
 - telephone numbers: the last ten digits (or all, if fewer); a country code in front and all punctuation stay
 - IPv4 addresses: as two halves of 16 bits
 - social security numbers: within valid areas (001 to 899 but 666), groups 01 to 99, serials 0001 to 9999
@@ -28,10 +28,10 @@ EDGE, END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IP = rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.\d)"
-DATE = rf"{EDGE}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}([./])\d{{2}}\1\d{{4}}){END}"
+DATE = rf"{EDGE}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}(?<ds>[./])\d{{2}}\k<ds>\d{{4}}){END}"
 SSN = rf"{EDGE}\d{{3}}-\d{{2}}-\d{{4}}{END}"
 PHONE = rf"(?:(?<![0-9A-Za-z+])\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)|\d{{2,4}})[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|(?<![0-9A-Za-z(])\(\d{{3}}\)[ .-]?\d{{3}}[ .-]\d{{4}}|{EDGE}\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}){END}"
-CARD = rf"{EDGE}\d(?:[ -]?\d){{12,18}}{END}"
+CARD = rf"{EDGE}(?:\d{{13,19}}|\d{{4}}(?<cs>[ -])\d{{4}}\k<cs>\d{{4}}\k<cs>\d{{4}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}}){END}"
 #: the first alternative that matches at a position wins
 ANY = "|".join((EMAIL, IP, DATE, SSN, PHONE, CARD))
 
