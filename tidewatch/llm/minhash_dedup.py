@@ -120,7 +120,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     signed = stored(d.mapInPandas(_sign, SIGNED))
     full = signed.filter("_n > 0")
-    classes = full.groupBy("_n", "_h1", "_h2").agg(F.min("_id").alias("_rep"))
+    # stored, so that both sides of the later join are plain exchanges and AQE can split a large class
+    classes = stored(full.groupBy("_n", "_h1", "_h2").agg(F.min("_id").alias("_rep")))
     reps = full.join(classes.select(F.col("_rep").alias("_id")).filter("_id is not null"), "_id", "left_semi").dropDuplicates(["_id"])
     pairs = stored(_proposed(reps))
     links = None
