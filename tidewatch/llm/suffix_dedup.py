@@ -199,10 +199,20 @@ def _edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for dk, text, found in zip(p["_dk"], p["_text"], p["_edges"], strict=True):
             data = _bytes(text)
+            seen: dict[tuple, int] = {}
             for e in found:
                 a, s, w, place = e["_a"], e["_s"], e["_w"], e["_p"]
+                piece = data[s : s + w + LENGTH - 1]
+                # equal runs of one text settle each other (without bytes: the row is a covered span); one goes on
+                before = seen.setdefault((a, place, piece), s)
+                if before != s:
+                    rows.append((dk, dk, s, len(piece), None))
+                    if before >= 0:
+                        rows.append((dk, dk, before, len(piece), None))
+                        seen[a, place, piece] = -1
+                    continue
                 if not e["_hot"]:
-                    rows.append((a, dk, s, place, data[s : s + w + LENGTH - 1]))
+                    rows.append((a, dk, s, place, piece))
                     continue
                 for block in range((place - w + 1) // BLOCK, place // BLOCK + 1):
                     x, y = max(0, place - (block + 1) * BLOCK + 1), min(w, place - block * BLOCK + 1)
@@ -225,6 +235,11 @@ def _search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame(rows, columns=COVERED.names)
 
     for p in parts:
+        open_ = p["_bytes"].notna()
+        if not open_.all():
+            q = p[~open_]
+            yield pd.DataFrame({"_dk": q["_dk"], "_lo": q["_s"], "_hi": q["_s"] + q["_p"]})
+            p = p[open_]
         route += p["_route"].tolist()
         dk += p["_dk"].tolist()
         s += p["_s"].tolist()
@@ -247,7 +262,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = d.filter(F.octet_length("_text") >= LENGTH).select("_dk", "_text").mapInPandas(_runs, RUNS)
     # per core, with partial sums before the shuffle: how many runs, and whether they are all one string
     counted = every.groupBy("_a").agg(F.count(F.lit(1)).alias("_c"), (F.min("_r") == F.max("_r")).alias("_one")).filter("_c > 1")
-    repeated = every.select("_dk", "_a", "_s", "_w", "_p").join(counted, "_a").withColumn("_hot", F.col("_c") > HOT)
+    # stored, so that the join's two sides are plain exchanges, of which AQE splits a hot core's
+    counted = stored(counted.select("_a", "_one", (F.col("_c") > HOT).alias("_hot")))
+    repeated = every.select("_dk", "_a", "_s", "_w", "_p").join(counted, "_a")
     run = F.struct("_a", "_s", "_w", "_p", "_hot")
     whole = F.struct(F.col("_s").alias("_lo"), (F.col("_s") + F.col("_w") + (LENGTH - 1)).alias("_hi"))
     # a document's runs: at most one per byte of it
