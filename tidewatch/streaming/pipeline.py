@@ -75,9 +75,7 @@ def stream_rule_a(enriched: DataFrame, size: str = "5 minutes", slide: str = "1
     return g.select(F.unix_millis("w.start").alias("window_start_ms"), F.unix_millis("w.end").alias("window_end_ms"), "article_id", F.col("m.title").alias("title"), F.col("m.category").alias("category"), "click_count")
 
 
-def sink_a(store: SqliteStore, threshold: int = 1000, emit: str = "eager") -> Callable[[DataFrame, int], None]:
-    if emit not in ("eager", "on_close"):
-        raise ValueError("emit is eager or on_close")
+def sink_a(store: SqliteStore, threshold: int = 1000) -> Callable[[DataFrame, int], None]:
     return lambda batch, _: write_batch(store, "article_alert", batch.filter(F.col("click_count") > threshold)) and None
 
 
@@ -133,6 +131,7 @@ def late_sink(store: SqliteStore, rule: str) -> Callable[[DataFrame, int], None]
 
 
 def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", once: bool = False, every: str = "30 seconds", name: str | None = None) -> StreamingQuery:
+    """Mode "update" sends a window's counts as they change; "append" only once the watermark has closed it."""
     w = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
     w = w.queryName(name) if name else w
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
