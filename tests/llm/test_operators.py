@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -323,3 +324,29 @@ def test_multi_index_misses_no_fingerprint_in_the_radius():
         bits[rng.permutation(64)[: rng.integers(0, decontaminate.RADIUS + 1)]] ^= 1
         fp = np.packbits(bits)
         assert any(near[b][fp[b], k] for b in range(8))
+
+
+@pytest.mark.parametrize("split", [minhash_dedup.SPLIT, 5])
+def test_near_dedup_loses_no_link_in_a_cloud_around_the_threshold(spark, split):
+    """Edits of one text, most pairs of which lie close to the threshold: every link counts, however long the lists."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    docs = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(int(r.expovariate(0.25))):
+            t[r.randrange(120)] = f"x{r.randrange(10**9)}"
+        docs.append((i, " ".join(t)))
+    sets = [set(minhash_dedup.shingle_set(t).tolist()) for _, t in docs]
+    least = list(range(len(docs)))
+    moved = True
+    while moved:
+        moved = False
+        for i in range(len(docs)):
+            for j in range(i):
+                k = len(sets[i] & sets[j])
+                if least[i] != least[j] and 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                    least[i] = least[j] = min(least[i], least[j])
+                    moved = True
+    got = {x["doc_id"]: x["component_id"] for x in minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), split=split).collect()}
+    assert got == dict(enumerate(least)) and 1 < len(set(least)) < len(docs)

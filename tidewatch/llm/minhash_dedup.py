@@ -11,10 +11,14 @@
    number of matching coordinates is estimated on the spot, and pairs below the threshold are never made.
 4. Pairs are confirmed on the full sets of 64-bit shingle hashes: first each representative's best pair, then those
    pairs that still join two components, so copies of copies aren't compared over and over.
-5. Connected components over the confirmed links.
+5. What step 3 skipped is made up for: in every list that still holds two components, all pairs across them are
+   compared by four bits of each coordinate, which never counts less than the true matches. Those with at least T are
+   confirmed like the others. Lists longer than SPLIT are first split by a second shared coordinate: a pair with T
+   matches shares one of any K - T + 1 others too, so nothing is lost.
+6. Connected components over the confirmed links.
 
-Each step is exact except that a link of overlap 0.75 whose pair isn't proposed by any list is missed; the chance
-that its signatures miss the threshold is below 1e-4.
+So every link whose signatures match in at least T coordinates is found or lies within one component; the chance that
+a pair of overlap 0.75 has fewer is below 1e-4.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; repeated rows
 (one id) count as one document, each row is returned; a null id never stands for others but keeps its class's
@@ -24,11 +28,12 @@ component; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +42,8 @@ from tidewatch.llm.joins import BROADCAST_IDS, by_ids, components, stored
 
 K, MATCHES = 64, 32
 PREFIX = K - MATCHES + 1
+#: entries of a posting list up to which it is compared without a second coordinate
+SPLIT = 20_000
 #: of one bit per coordinate; a pair of overlap 0.75 has 56 equal bits on average, with deviation 2.6
 LEAST_BITS = 44
 NUMERATOR, DENOMINATOR = 75, 100
@@ -115,7 +122,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return j.filter(F.col("i") * DENOMINATOR >= (F.col("n") - F.col("i")) * NUMERATOR).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
     """id, n_shingles, component_id and kept of every row."""
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     signed = stored(d.mapInPandas(_sign, SIGNED))
@@ -133,6 +140,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = _across(pairs.join(best, ["a", "b"], "left_anti"), links)
         if rest.limit(1).count():
             links = stored(links.unionByName(confirm(rest, sets)))
+        across = _skipped(reps, links, split)
+        if across.limit(1).count():
+            needed = stored(across.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+            sets = by_ids(d.filter("_id is not null"), needed, "_id", "left_semi").mapInPandas(_sets, "_id long, _set array<long>")
+            links = stored(links.unionByName(confirm(across, sets)))
     named = signed.join(classes, ["_n", "_h1", "_h2"], "left")
     if links is None:
         named = named.withColumn("_component", F.col("_rep"))
@@ -151,6 +163,39 @@ def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return stored(j.filter(~F.coalesce("_a", "a").eqNullSafe(F.coalesce("_b", "b"))).select("a", "b"))
 
 
+def _quarter(i: int) -> Column:
+    """Four bits of each of 16 coordinates, from the i-th on."""
+    return reduce(Column.bitwiseOR, [F.shiftleft(F.col("_sig")[i + j].bitwiseAND(F.lit(15)).cast("long"), 4 * j) for j in range(16)])
+
+
+def _equal_quarter(x: Column) -> Column:
+    """How many of 16 groups of four bits are zero."""
+    any_bit = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+    return F.lit(16) - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _skipped(reps: DataFrame, links: DataFrame, split: int) -> DataFrame:
+    """Pairs of different components that share a posting list and may match in at least MATCHES coordinates."""
+    label = components(links).select(F.col("node").alias("_id"), F.col("component").alias("_label"))
+    r = reps.join(label, "_id", "left").select("_id", "_n", F.coalesce("_label", "_id").alias("_component"), "_sig", *[_quarter(16 * q).alias(f"_q{q}") for q in range(4)])
+    r = stored(r)
+    p = r.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("_sig")[k]).alias("key")) for k in range(PREFIX)])).alias("e"))
+    p = p.select("_id", "_n", "_component", "_sig", *[f"_q{q}" for q in range(4)], F.col("e.k").alias("_k"), F.col("e.key").alias("_key"))
+    mixed = stored(p.groupBy("_key").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most"), F.count(F.lit(1)).alias("_entries")).filter("_least <> _most").select("_key", "_entries"))
+    brief = ["_key", "_id", "_n", "_component", *[f"_q{q}" for q in range(4)]]
+    entries = by_ids(p.select(*brief), mixed.filter(F.col("_entries") <= split).select("_key"), "_key", "left_semi")
+    hot = mixed.filter(F.col("_entries") > split).select("_key")
+    if hot.limit(1).count():
+        other = F.transform(F.sequence(F.lit(1), F.lit(PREFIX)), lambda i: F.pmod(F.col("_k") + i, F.lit(K)))
+        h = by_ids(p, hot, "_key", "left_semi").withColumn("_o", F.explode(other))
+        entries = entries.unionByName(h.withColumn("_key", F.xxhash64("_key", "_o", F.element_at("_sig", F.col("_o") + 1))).select(*brief))
+    side = lambda s: entries.select("_key", *[F.col(c).alias(f"{c}{s}") for c in brief[1:]])
+    j = side("a").join(side("b"), "_key").filter((F.col("_ida") < F.col("_idb")) & (F.col("_componenta") != F.col("_componentb")))
+    j = j.filter(F.least("_na", "_nb") * DENOMINATOR >= F.greatest("_na", "_nb") * NUMERATOR)
+    matches = reduce(Column.__add__, [_equal_quarter(F.col(f"_q{q}a").bitwiseXOR(F.col(f"_q{q}b"))) for q in range(4)])
+    return stored(j.filter(matches >= MATCHES).select(F.col("_ida").alias("a"), F.col("_idb").alias("b")).distinct())
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group; the ids that go are broadcast only if few."""
     gone = stored(near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct())
