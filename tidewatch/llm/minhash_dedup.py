@@ -11,14 +11,15 @@
    number of matching coordinates is estimated on the spot, and pairs below the threshold are never made.
 4. Pairs are confirmed on the full sets of 64-bit shingle hashes: first each representative's best pair, then those
    pairs that still join two components, so copies of copies aren't compared over and over.
-5. What step 3 skipped is made up for: in every list that still holds two components, all pairs across them are
-   compared by four bits of each coordinate, which never counts less than the true matches. Those with at least T are
-   confirmed like the others. Lists longer than SPLIT are first split by a second shared coordinate: a pair with T
-   matches shares one of any K - T + 1 others too, so nothing is lost.
+5. What step 3 skipped is made up for: of the coordinate values that two components hold, each representative posts
+   its rarest, as many as it takes for a pair with T matches to share one. Pairs across components that meet in a list
+   count the collisions of a finer signature, of 512 one-bit coordinates that only these representatives get; those
+   with at least FINE_LEAST are confirmed like the others. Lists longer than SPLIT are split by a second shared value,
+   which such a pair has too. That step alone compares all pairs across the components of a list.
 6. Connected components over the confirmed links.
 
-So every link whose signatures match in at least T coordinates is found or lies within one component; the chance that
-a pair of overlap 0.75 has fewer is below 1e-4.
+So every link whose signatures match in at least T and FINE_LEAST coordinates is found or lies within one component; the
+chance that a pair of overlap 0.75 has fewer is below 2e-4.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; repeated rows
 (one id) count as one document, each row is returned; a null id never stands for others but keeps its class's
@@ -43,13 +44,17 @@ from tidewatch.llm.joins import BROADCAST_IDS, by_ids, components, stored
 K, MATCHES = 64, 32
 PREFIX = K - MATCHES + 1
 #: entries of a posting list up to which it is compared without a second coordinate
-SPLIT = 20_000
+SPLIT = 10_000
 #: of one bit per coordinate; a pair of overlap 0.75 has 56 equal bits on average, with deviation 2.6
 LEAST_BITS = 44
+#: a second signature of 512 one-bit coordinates; a pair of overlap 0.75 has 448 equal on average, with deviation 7.5
+FINE, FINE_LEAST = [f"_f{i}" for i in range(8)], 418
 NUMERATOR, DENOMINATOR = 75, 100
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, K, dtype=np.uint64)
+_FINE_MULTIPLY = _rng.integers(1, 1 << 63, 64 * len(FINE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_ADD = _rng.integers(0, 1 << 63, 64 * len(FINE), dtype=np.uint64)
 _WORD = ~SPACES
 
 
@@ -100,6 +105,18 @@ def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"_id": q["_id"].to_numpy(), "_set": [shingle_set(t).view(np.int64) for t in q["_text"]]})
 
 
+def _fine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        bits = np.zeros((len(p), 64 * len(FINE)), np.uint8)
+        for row, t in zip(bits, p["_text"], strict=True):
+            s = shingle_set(t)
+            low = np.full(len(row), np.iinfo(np.uint64).max, np.uint64)
+            for k in range(0, len(s), 256):
+                low = np.minimum(low, (s[k : k + 256, None] * _FINE_MULTIPLY + _FINE_ADD).min(0))
+            row[:] = ((low >> np.uint64(32)) * np.uint64(0x9E3779B1) >> np.uint64(31)) & np.uint64(1)
+        yield pd.DataFrame(np.packbits(bits, 1).view(">u8").astype(np.int64), columns=FINE).assign(_id=p["_id"].to_numpy())[["_id", *FINE]]
+
+
 def _proposed(reps: DataFrame) -> DataFrame:
     """(a, b, bits): pairs a < b that share a posting list of the prefix and enough bits."""
     other = lambda k: F.xxhash64(F.col("_sig")[(k + 37) % K], F.col("_sig")[(k + 51) % K])
@@ -140,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = _across(pairs.join(best, ["a", "b"], "left_anti"), links)
         if rest.limit(1).count():
             links = stored(links.unionByName(confirm(rest, sets)))
-        across = _skipped(reps, links, split)
+        across = _skipped(d, reps, links, split)
         if across.limit(1).count():
             needed = stored(across.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
             sets = by_ids(d.filter("_id is not null"), needed, "_id", "left_semi").mapInPandas(_sets, "_id long, _set array<long>")
@@ -163,37 +180,34 @@ def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return stored(j.filter(~F.coalesce("_a", "a").eqNullSafe(F.coalesce("_b", "b"))).select("a", "b"))
 
 
-def _quarter(i: int) -> Column:
-    """Four bits of each of 16 coordinates, from the i-th on."""
-    return reduce(Column.bitwiseOR, [F.shiftleft(F.col("_sig")[i + j].bitwiseAND(F.lit(15)).cast("long"), 4 * j) for j in range(16)])
-
-
-def _equal_quarter(x: Column) -> Column:
-    """How many of 16 groups of four bits are zero."""
-    any_bit = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
-    return F.lit(16) - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-
+def _skipped(d: DataFrame, reps: DataFrame, links: DataFrame, split: int) -> DataFrame:
+    """Pairs of different components that may match in at least MATCHES coordinates, and do in FINE_LEAST fine bits.
 
-def _skipped(reps: DataFrame, links: DataFrame, split: int) -> DataFrame:
-    """Pairs of different components that share a posting list and may match in at least MATCHES coordinates."""
+    Such a pair shares at least that many coordinate values which two components hold. Each representative's values of
+    that kind are ordered, rarest first; of m of them any pair shares one of the first m - MATCHES + 1, and two of the
+    first m - MATCHES + 2. So common passages' values come last and are seldom posted.
+    """
     label = components(links).select(F.col("node").alias("_id"), F.col("component").alias("_label"))
-    r = reps.join(label, "_id", "left").select("_id", "_n", F.coalesce("_label", "_id").alias("_component"), "_sig", *[_quarter(16 * q).alias(f"_q{q}") for q in range(4)])
-    r = stored(r)
-    p = r.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.col("_sig")[k]).alias("key")) for k in range(PREFIX)])).alias("e"))
-    p = p.select("_id", "_n", "_component", "_sig", *[f"_q{q}" for q in range(4)], F.col("e.k").alias("_k"), F.col("e.key").alias("_key"))
-    mixed = stored(p.groupBy("_key").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most"), F.count(F.lit(1)).alias("_entries")).filter("_least <> _most").select("_key", "_entries"))
-    brief = ["_key", "_id", "_n", "_component", *[f"_q{q}" for q in range(4)]]
-    entries = by_ids(p.select(*brief), mixed.filter(F.col("_entries") <= split).select("_key"), "_key", "left_semi")
-    hot = mixed.filter(F.col("_entries") > split).select("_key")
-    if hot.limit(1).count():
-        other = F.transform(F.sequence(F.lit(1), F.lit(PREFIX)), lambda i: F.pmod(F.col("_k") + i, F.lit(K)))
-        h = by_ids(p, hot, "_key", "left_semi").withColumn("_o", F.explode(other))
-        entries = entries.unionByName(h.withColumn("_key", F.xxhash64("_key", "_o", F.element_at("_sig", F.col("_o") + 1))).select(*brief))
-    side = lambda s: entries.select("_key", *[F.col(c).alias(f"{c}{s}") for c in brief[1:]])
+    brief = ["_id", "_n", "_component"]
+    r = stored(reps.join(label, "_id", "left").select("_id", "_n", F.coalesce("_label", "_id").alias("_component"), "_sig"))
+    values = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("_sig")[k]) for k in range(K)])).alias("_key")
+    mixed = r.select("_component", values).groupBy("_key").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most"), F.count(F.lit(1)).alias("_entries"))
+    mixed = stored(mixed.filter("_least <> _most").select("_key", "_entries"))
+    held = by_ids(r.select(*brief, values), mixed, "_key", "inner").groupBy(*brief).agg(F.sort_array(F.collect_list(F.struct("_entries", "_key"))).alias("_held"))
+    held = stored(held.filter(F.size("_held") >= MATCHES).withColumn("_posts", F.size("_held") - (MATCHES - 1)))
+    fine = stored(by_ids(d.filter("_id is not null"), held.select("_id"), "_id", "left_semi").mapInPandas(_fine, "_id long, " + ", ".join(f"{c} long" for c in FINE)).dropDuplicates(["_id"]))
+
+    def posted(v: Column, i: Column) -> Column:
+        second = F.transform(F.slice("_held", i + 2, F.col("_posts") - i), lambda o: F.xxhash64(v["_key"], o["_key"]))
+        return F.when(v["_entries"] <= split, F.array(v["_key"])).otherwise(second)
+
+    keys = F.flatten(F.transform(F.slice("_held", F.lit(1), F.col("_posts")), posted))
+    entries = stored(held.select(*brief, keys.alias("_keys")).join(fine, "_id").select(*brief, *FINE, F.explode("_keys").alias("_key")))
+    side = lambda s: entries.select("_key", *[F.col(c).alias(f"{c}{s}") for c in (*brief, *FINE)])
     j = side("a").join(side("b"), "_key").filter((F.col("_ida") < F.col("_idb")) & (F.col("_componenta") != F.col("_componentb")))
     j = j.filter(F.least("_na", "_nb") * DENOMINATOR >= F.greatest("_na", "_nb") * NUMERATOR)
-    matches = reduce(Column.__add__, [_equal_quarter(F.col(f"_q{q}a").bitwiseXOR(F.col(f"_q{q}b"))) for q in range(4)])
-    return stored(j.filter(matches >= MATCHES).select(F.col("_ida").alias("a"), F.col("_idb").alias("b")).distinct())
+    other = reduce(Column.__add__, [F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in FINE])
+    return stored(j.filter(other <= 64 * len(FINE) - FINE_LEAST).select(F.col("_ida").alias("a"), F.col("_idb").alias("b")).distinct())
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
