@@ -243,6 +243,18 @@ def test_toxicity(spark, hostile, empty):
     assert toxicity.clean(hostile, m).columns == hostile.columns
 
 
+def toxic_model(spark):
+    rows = [(i, prose(i, 30) + (" you are an idiot and a moron" if i % 4 == 0 else " you are kind")) for i in range(400)]
+    return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+
+
+def test_toxicity_repeated_letters_between_blanks(spark):
+    m = toxic_model(spark)
+    assert m.channel.words("you are a moooron") == {"you": 1, "are": 1, "a": 1, "moron": 1}
+    s = by_id(toxicity.score(spark.createDataFrame([(1, "you are a moooron"), (2, "you are kind")], "doc_id long, text string"), m))
+    assert (s[1]["predicted"], s[2]["predicted"]) == (1, 0)
+
+
 def near_brute(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

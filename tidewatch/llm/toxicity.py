@@ -38,6 +38,7 @@ EDGE_BEFORE, EDGE_AFTER = "*#%&\"'“”‘’([{<>.,;:!?¿¡-_/\\=", "*#%&$!?.,
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
 ODD = re.compile(r"[^\W\d_]")
+REPEATED = re.compile(r"([^\W\d_])\1\1")
 SUSPECT = re.compile(r"[0-9@$!|+(€£¡*#?.\-_~'’·]|([^\W\d_])\1\1")
 
 
@@ -116,13 +117,9 @@ class Channel:
         low = APART.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text.lower())
         out: Counter = Counter()
         for t, n in Counter(low.split()).items():
-            if t.isalpha():
-                out[t] += n
-                continue
-            t = t.lstrip(EDGE_BEFORE).rstrip(EDGE_AFTER)
             if not t.isalpha():
-                t = self.token(t)
-            elif (m := SUSPECT.search(t)) and m[1]:
+                t = t.lstrip(EDGE_BEFORE).rstrip(EDGE_AFTER)
+            if not t.isalpha() or REPEATED.search(t):
                 t = self.token(t)
             if t:
                 out[t] += n
