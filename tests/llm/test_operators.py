@@ -255,6 +255,20 @@ def test_toxicity_repeated_letters_between_blanks(spark):
     assert (s[1]["predicted"], s[2]["predicted"]) == (1, 0)
 
 
+def small_channel():
+    texts = [prose(i, 30) + (" you are an idiot and a moron" if i % 4 == 0 else " you are kind") for i in range(400)]
+    codes, n = np.unique(np.concatenate([toxicity.trigrams(t) for t in texts]), return_counts=True)
+    return toxicity.Channel(codes, n.astype(float))
+
+
+def test_toxicity_decoder_keeps_every_state_and_any_length():
+    c = small_channel()
+    assert [c.token(t) for t in ("**lta", "**mma", "**ppa", "m**on")] == ["delta", "gamma", "kappa", "moron"]
+    assert c.token("i.d.i.o.t.m.o.r.o.n.i.d.i.o.t") == "idiotmoronidiot"
+    assert c.token("m" + "o" * 40 + "ron") == "moron"
+    assert c.token("al" + "*" * 300 + "pha" * 400).endswith("pha" * 400)
+
+
 def near_brute(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

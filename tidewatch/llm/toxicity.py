@@ -2,7 +2,8 @@
 
 A character language model (trigrams over letters, counted over all documents) and a channel (leetspeak, masked
 letters, inserted separators, repeated letters, letters set apart by spaces) span a lattice over each suspicious
-token; Viterbi's best path restores it. Tokens that look ordinary are taken as they are.
+token of any length; Viterbi's best path over all states (the last two letters) restores it. Tokens that look
+ordinary are taken as they are.
 
 Words of the restored text and their prefixes are features. A bounded sample of labelled rows (SAMPLE, by hash
 of the id, training rows only) selects FEATURES of them by the likelihood-ratio statistic of their document
@@ -29,7 +30,7 @@ from tidewatch.llm.langid import held_out, letter_slots, trigrams
 
 SAMPLE, FEATURES, LEAST_DOCUMENTS = 20_000, 3000, 4
 PREFIXES = (3, 4, 5, 6, 7)
-BEAM, LONGEST = 24, 24
+FIRST, MANY, CACHED_LENGTH = -3.0, 24, 64
 
 # What the channel may have done to a letter.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -50,11 +51,12 @@ class Channel:
         self.ready = False
 
     def _prepare(self) -> None:
-        pair = np.zeros(1 << 14)
+        self.pair = pair = np.zeros(1 << 14)
         np.add.at(pair, self.codes >> 7, self.counts)
         self.table = dict(zip(self.codes.tolist(), np.log((self.counts + 0.01) / (pair[self.codes >> 7] + 1.28)).tolist(), strict=True))
         self.unseen = {int(p): float(np.log(0.01 / (pair[p] + 1.28))) for p in np.flatnonzero(pair)}
         self.restore = lru_cache(200_000)(self._restore)
+        self.dense: np.ndarray | None = None
         self.ready = True
 
     def __getstate__(self):
@@ -63,14 +65,14 @@ class Channel:
     def token(self, t: str) -> str:
         if not self.ready:
             self._prepare()
-        return self.restore(t)
+        # long tokens hardly recur: the cache's memory stays bounded
+        return self.restore(t) if len(t) <= CACHED_LENGTH else self._restore(t)
 
     def _restore(self, token: str) -> str:
         """The best path's letters; the token itself if it isn't one that the channel could have made."""
         letters = sum(c.isalpha() for c in token)
-        if len(token) > LONGEST or letters < 2 or letters * 3 < len(token) or not SUSPECT.search(token):
+        if letters < 2 or letters * 3 < len(token) or not SUSPECT.search(token):
             return token
-        slots = letter_slots()
         # each position: (letters it may stand for, cost)
         lattice: list[list[tuple[str, float]]] = []
         i = 0
@@ -90,25 +92,60 @@ class Channel:
                 options.append(("", 1.5))
             lattice.append(options)
             i += 1
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # each state (the last two letters' slots): its best score, and its outputs as a chain back to the start
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for options in lattice:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
-                for out, cost in options:
-                    x, y, s = a, b, score - cost
-                    for ch in out:
-                        z = int(slots[min(ord(ch), 0x10FFFF)])
-                        s += self._step(x, y, z)
-                        x, y = y, z
-                    if (x, y) not in new or s > new[x, y][0]:
-                        new[x, y] = (s, text + out)
-            paths = dict(sorted(new.items(), key=lambda p: -p[1][0])[:BEAM])
-        return max(((s + self._step(a, b, 0), t) for (a, b), (s, t) in paths.items()), default=(0, token))[1]
-
-    def _step(self, a: int, b: int, c: int) -> float:
-        if a == 0 and b == 0:
-            return -3.0  # a word's first letter: trigrams begin at the boundary
-        return self.table.get(a << 14 | b << 7 | c) or self.unseen.get(a << 7 | b, -5.0)
+            paths = self._many(paths, options) if len(paths) > MANY and len(options) > 4 else self._few(paths, options)
+        best, chain = max(((s + self._step(state, 0), chain) for state, (s, chain) in paths.items()), key=lambda p: p[0], default=(0.0, (None, token)))
+        out = []
+        while chain:
+            chain, piece = chain
+            out.append(piece)
+        return "".join(reversed(out))
+
+    def _few(self, paths: dict, options: list[tuple[str, float]]) -> dict:
+        """The states after one position, and the best path to each."""
+        slots = letter_slots()
+        steps = [(out, [int(slots[ord(ch)]) for ch in out], cost) for out, cost in options]
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, chain) in paths.items():
+            for out, zs, cost in steps:
+                at, s = state, score - cost
+                for z in zs:
+                    s += self._step(at, z)
+                    at = (at & 127) << 7 | z
+                if at not in new or s > new[at][0]:
+                    new[at] = (s, (chain, out) if out else chain)
+        return new
+
+    def _many(self, paths: dict, options: list[tuple[str, float]]) -> dict:
+        """As _few, for many states and options of one letter at most: all steps of the states with one last letter at once."""
+        if self.dense is None:
+            self.dense = np.full((1 << 14, 128), -5.0, np.float32)
+            for pair, s in self.unseen.items():
+                self.dense[pair] = s
+            self.dense[self.codes >> 7, self.codes & 127] = np.log((self.counts + 0.01) / (self.pair[self.codes >> 7] + 1.28))
+            self.dense[0] = FIRST
+        slots = letter_slots()
+        single = [(out, int(slots[ord(out)]), cost) for out, cost in options if out]
+        zs, costs = np.array([z for _, z, _ in single]), np.array([c for _, _, c in single])
+        new = self._few(paths, [o for o in options if not o[0]])
+        groups: dict[int, list[int]] = {}
+        for state in paths:
+            groups.setdefault(state & 127, []).append(state)
+        for b, states in groups.items():
+            s = np.array([paths[x][0] for x in states])[:, None] + self.dense[states][:, zs] - costs
+            best = s.argmax(0)
+            for k, (out, z, _) in enumerate(single):
+                v, at = float(s[best[k], k]), b << 7 | z
+                if at not in new or v > new[at][0]:
+                    new[at] = (v, (paths[states[best[k]]][1], out))
+        return new
+
+    def _step(self, state: int, c: int) -> float:
+        if state == 0:
+            return FIRST  # a word's first letter: trigrams begin at the boundary
+        return self.table.get(state << 7 | c) or self.unseen.get(state, -5.0)
 
     def words(self, text: str | None) -> Counter:
         """Counts of restored words."""
