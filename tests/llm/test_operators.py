@@ -269,6 +269,16 @@ def test_toxicity_decoder_keeps_every_state_and_any_length():
     assert c.token("al" + "*" * 300 + "pha" * 400).endswith("pha" * 400)
 
 
+def test_toxicity_disguises_at_the_ends_and_in_most_letters():
+    texts = [prose(i, 30) + (" you idiot and moron you asshole what an ass" if i % 4 == 0 else " you are kind as a fork") for i in range(400)]
+    codes, n = np.unique(np.concatenate([toxicity.trigrams(t) for t in texts]), return_counts=True)
+    c = toxicity.Channel(codes, n.astype(float))
+    for t, want in {"a$$": "ass", "!d10t": "idiot", "4$$h0l3": "asshole", "@$$": "ass", '"m0r0n?"': "moron", "*idiot*": "idiot", "**idiot**": "idiot", "idiot!!!": "idiot", "(idiot)": "idiot", "beta?": "beta", "1200": "1200"}.items():
+        assert c.words(t) == {want: 1}, t
+    assert c.words("f***") != {"f": 1}
+    assert not c.words("*** -- !!")
+
+
 def near_brute(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

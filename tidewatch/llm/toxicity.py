@@ -3,7 +3,8 @@
 A character language model (trigrams over letters, counted over all documents) and a channel (leetspeak, masked
 letters, inserted separators, repeated letters, letters set apart by spaces) span a lattice over each suspicious
 token of any length; Viterbi's best path over all states (the last two letters) restores it. Tokens that look
-ordinary are taken as they are.
+ordinary are taken as they are. What may stand for a letter at a token's ends is in the lattice too, and a digit may
+stay a digit: the paths' scores decide, whatever the share of letters.
 
 Words of the restored text and their prefixes are features. A bounded sample of labelled rows (SAMPLE, by hash
 of the id, training rows only) selects FEATURES of them by the likelihood-ratio statistic of their document
@@ -20,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -30,12 +32,16 @@ from tidewatch.llm.langid import held_out, letter_slots, trigrams
 
 SAMPLE, FEATURES, LEAST_DOCUMENTS = 20_000, 3000, 4
 PREFIXES = (3, 4, 5, 6, 7)
-FIRST, MANY, CACHED_LENGTH = -3.0, 24, 64
+FIRST, GUIDE, MANY, CACHED_LENGTH = -3.0, 1, 24, 64
 
 # What the channel may have done to a letter.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 MASKS, SEPARATORS = "*#?", ".-_~'’·"
-EDGE_BEFORE, EDGE_AFTER = "*#%&\"'“”‘’([{<>.,;:!?¿¡-_/\\=", "*#%&$!?.,;:\"'“”‘’)]}<>-_/\\="
+# Edges: what stands for no letter is cut off. What may stand for one can be dropped at a token's ends at a cost, low
+# where writing puts such a sign. A digit may also stay, as a boundary, dearer beside letters; a mask or separator within
+# may be dropped.
+EDGE_BEFORE, EDGE_AFTER = "%&\"'“”‘’[{<>.,;:¿-_/\\=", "%&.,;:\"'“”‘’)]}<>-_/\\="
+DROP_BEFORE, DROP_AFTER, DROP, DIGIT, BESIDE, WITHIN = {"(": 0.5, "¡": 0.5, "*": 2.0, "#": 2.0, "?": 0.5}, {"!": -2.0, "?": -4.0, "*": 3.5, "#": 3.5}, 5.0, float(np.log(10)), 2.0, 1.5
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
 ODD = re.compile(r"[^\W\d_]")
@@ -56,6 +62,8 @@ class Channel:
         self.table = dict(zip(self.codes.tolist(), np.log((self.counts + 0.01) / (pair[self.codes >> 7] + 1.28)).tolist(), strict=True))
         self.unseen = {int(p): float(np.log(0.01 / (pair[p] + 1.28))) for p in np.flatnonzero(pair)}
         self.restore = lru_cache(200_000)(self._restore)
+        slots = letter_slots()
+        self.slots = lru_cache(10_000)(lambda out: [int(slots[ord(ch)]) for ch in out])
         self.dense: np.ndarray | None = None
         self.ready = True
 
@@ -69,10 +77,12 @@ class Channel:
         return self.restore(t) if len(t) <= CACHED_LENGTH else self._restore(t)
 
     def _restore(self, token: str) -> str:
-        """The best path's letters; the token itself if it isn't one that the channel could have made."""
-        letters = sum(c.isalpha() for c in token)
-        if letters < 2 or letters * 3 < len(token) or not SUSPECT.search(token):
+        """The best path's letters (and digits that are best left as they are); the token itself if it holds no disguise."""
+        if not SUSPECT.search(token):
             return token
+        first = next((k for k, c in enumerate(token) if c.isalnum()), len(token))
+        last = len(token) - next((k for k, c in enumerate(reversed(token)) if c.isalnum()), len(token))
+        paired = 0 < first and last < len(token) and token[first - 1] == token[last] in MASKS  # emphasis
         # each position: (letters it may stand for, cost)
         lattice: list[list[tuple[str, float]]] = []
         i = 0
@@ -88,37 +98,55 @@ class Channel:
             options = [(x, 1.0) for x in LEET.get(c, "")]
             if c in MASKS:
                 options += [(x, 3.0) for x in LETTERS]
-            if c in SEPARATORS or c in MASKS or not options:
-                options.append(("", 1.5))
+            if c.isdigit():
+                options.append((c, DIGIT + BESIDE * sum(x.isalpha() for x in token[max(i - 1, 0) : i + 2])))
+            elif paired and c == token[last] and (i < first or i >= last):
+                options.append(("", 0.0))
+            elif i < first or i >= last:
+                options.append(("", min([DROP_BEFORE.get(c, DROP)] * (i < first) + [DROP_AFTER.get(c, DROP)] * (i >= last)) if c in LEET or c in MASKS else WITHIN))
+            elif c in SEPARATORS or c in MASKS or not options:
+                options.append(("", WITHIN))
             lattice.append(options)
             i += 1
-        # each state (the last two letters' slots): its best score, and its outputs as a chain back to the start
-        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for options in lattice:
-            paths = self._many(paths, options) if len(paths) > MANY and len(options) > 4 else self._few(paths, options)
-        best, chain = max(((s + self._step(state, 0), chain) for state, (s, chain) in paths.items()), key=lambda p: p[0], default=(0.0, (None, token)))
+        # what is left costs this much at least: no step adds to a score
+        rest = [0.0]
+        for options in reversed(lattice):
+            rest.append(rest[-1] + min(cost for _, cost in options))
+        rest = rest[-2::-1]
+        # a narrow search finds one whole path; in the full one only states that can't reach its score are left out
+        floor = self._search(lattice, rest, width=GUIDE)[0] - 0.01
+        chain = self._search(lattice, rest, floor=floor)[1]
         out = []
         while chain:
             chain, piece = chain
             out.append(piece)
         return "".join(reversed(out))
 
-    def _few(self, paths: dict, options: list[tuple[str, float]]) -> dict:
-        """The states after one position, and the best path to each."""
-        slots = letter_slots()
-        steps = [(out, [int(slots[ord(ch)]) for ch in out], cost) for out, cost in options]
+    def _search(self, lattice: list, rest: list[float], width: int = 0, floor: float = -np.inf) -> tuple[float, tuple | None]:
+        """The best path's score and its outputs, as a chain back to the start."""
+        # each state (the last two letters' slots): its best score, and its chain
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for options, least in zip(lattice, rest, strict=True):
+            paths = self._many(paths, options, floor + least) if len(paths) > MANY and len(options) > 4 else self._few(paths, options, floor + least)
+            if width and len(paths) > width:
+                paths = dict(nlargest(width, paths.items(), key=lambda p: p[1][0]))
+        return max(((s + self._step(state, 0), chain) for state, (s, chain) in paths.items()), key=lambda p: p[0])
+
+    def _few(self, paths: dict, options: list[tuple[str, float]], least: float = -np.inf) -> dict:
+        """The states after one position that score `least` at least, and the best path to each."""
+        steps = [(out, self.slots(out), cost) for out, cost in options]
         new: dict[int, tuple[float, tuple | None]] = {}
         for state, (score, chain) in paths.items():
             for out, zs, cost in steps:
                 at, s = state, score - cost
                 for z in zs:
                     s += self._step(at, z)
-                    at = (at & 127) << 7 | z
-                if at not in new or s > new[at][0]:
+                    at = (at & 127) << 7 | z if z or at & 127 else at
+                if s >= least and (at not in new or s > new[at][0]):
                     new[at] = (s, (chain, out) if out else chain)
         return new
 
-    def _many(self, paths: dict, options: list[tuple[str, float]]) -> dict:
+    def _many(self, paths: dict, options: list[tuple[str, float]], least: float = -np.inf) -> dict:
         """As _few, for many states and options of one letter at most: all steps of the states with one last letter at once."""
         if self.dense is None:
             self.dense = np.full((1 << 14, 128), -5.0, np.float32)
@@ -126,25 +154,28 @@ class Channel:
                 self.dense[pair] = s
             self.dense[self.codes >> 7, self.codes & 127] = np.log((self.counts + 0.01) / (self.pair[self.codes >> 7] + 1.28))
             self.dense[0] = FIRST
-        slots = letter_slots()
-        single = [(out, int(slots[ord(out)]), cost) for out, cost in options if out]
+        single = [(out, self.slots(out)[0], cost) for out, cost in options if out]
         zs, costs = np.array([z for _, z, _ in single]), np.array([c for _, _, c in single])
-        new = self._few(paths, [o for o in options if not o[0]])
+        new = self._few(paths, [o for o in options if not o[0]], least)
         groups: dict[int, list[int]] = {}
         for state in paths:
             groups.setdefault(state & 127, []).append(state)
         for b, states in groups.items():
             s = np.array([paths[x][0] for x in states])[:, None] + self.dense[states][:, zs] - costs
             best = s.argmax(0)
-            for k, (out, z, _) in enumerate(single):
-                v, at = float(s[best[k], k]), b << 7 | z
+            top = s.max(0)
+            for k in np.flatnonzero(top >= least).tolist():
+                out, z, _ = single[k]
+                v, at = float(top[k]), b << 7 | z
                 if at not in new or v > new[at][0]:
                     new[at] = (v, (paths[states[best[k]]][1], out))
         return new
 
     def _step(self, state: int, c: int) -> float:
         if state == 0:
-            return FIRST  # a word's first letter: trigrams begin at the boundary
+            return FIRST if c else 0.0  # a word's first letter: trigrams begin at the boundary
+        if not c and not state & 127:
+            return 0.0  # boundaries are one
         return self.table.get(state << 7 | c) or self.unseen.get(state, -5.0)
 
     def words(self, text: str | None) -> Counter:
