@@ -335,6 +335,18 @@ def test_secrets(spark, hostile, empty):
     assert secrets.scan(hostile).count() == hostile.count() and secrets.scan(empty).count() == 0
 
 
+def test_secrets_after_names(spark):
+    key, url = "Zq7+tR2mK9/xW4bVc8LpY1sHd6JfGu3N", "Zq7-tR2mK9_xW4bVc8LpY1sHd6JfGu3N"
+    texts = [f"aws_key={key} end", f"sig={key}", f"a=b={key}==", f"my_own-{key}", f"v+1/{url} x", f"q={url}&r=1", f"x_y={key}=", f"{key}="]
+    got = by_id(secrets.scan(spark.createDataFrame([*enumerate(texts), (99, prose(1, 3000))], "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        k = key if key in t else url
+        s = t.index(k)
+        e = s + len(k) + len(re.match("=*", t[s + len(k) :])[0])
+        assert f"random:{s}:{e}" in got[i]["spans"].split(","), t
+    assert got[99]["spans"] == ""
+
+
 def test_decontaminate(spark, hostile, empty):
     b = benchmark(spark)
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(hostile, b).collect()}

@@ -1,8 +1,9 @@
 """Secret scans: base patterns, and a battery of randomness tests on other tokens.
 
-Base kinds are found by pattern alone. Any other run of 20 or more key characters outside them is tested:
-its encoding (base32, base64 or letters and digits) is inferred, then three tests ask whether it could be drawn
-evenly from that alphabet: chi-squared of the characters, the number of runs about the median, and the
+Base kinds are found by pattern alone. Any other run of 20 or more key characters outside them is tested; '=' only
+belongs to its end, as padding. A run that mixes the signs of base64 and base64url is tested by its pieces of either,
+which may overlap. A token's encoding (base32, base64 or letters and digits) is inferred, then three tests ask whether
+it could be drawn evenly from that alphabet: chi-squared of the characters, the number of runs about the median, and the
 correlation of neighbours. Fisher's sum joins their p-values. Of those that pass, the evidence against ordinary
 text is the likelihood ratio of the even alphabet to the corpus's own characters (counted over all documents);
 it is an e-value, and per class of length the e-values above the step-up bound at level ALPHA are kept, which
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+# '=' is padding at the end of a run; elsewhere it parts a name from a value
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+PIECES = re.compile(r"[A-Za-z0-9+/]{14,}=*"), re.compile(r"[A-Za-z0-9_-]{14,}=*")
+LEAST_LENGTH = 20
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGN = 12
@@ -91,19 +95,30 @@ def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS) - 1
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of key characters; of one that no alphabet has whole, its longest pieces of base64 and of base64url."""
+    for m in TOKEN.finditer(text):
+        if m.end() - m.start() < LEAST_LENGTH:
+            continue
+        if encoding(m[0]):
+            yield m.span()
+        else:
+            yield from sorted({(m.start() + p.start(), m.start() + p.end()) for pattern in PIECES for p in pattern.finditer(m[0]) if p.end() - p.start() >= LEAST_LENGTH})
+
+
 def candidates(text: str, base: list, bits: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(start, end, class of length, evidence in bits) of tokens outside the base spans that pass the battery."""
     out = []
-    for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+    for start, end in tokens(text):
+        if any(s < end and start < e for s, _, e in base):
             continue
-        token = m[0]
+        token = text[start:end]
         kind = encoding(token)
         if kind is None or battery(token, kind) < LEAST_P:
             continue
         x = np.frombuffer(token.rstrip("=").encode(), np.uint8)
         e = float(-np.log2(len(ALPHABETS[kind])) * len(x) - bits[x].sum())
-        out.append((m.start(), m.end(), length_class(len(token)), int(max(-64, min(MOST_BITS, math.floor(e))))))
+        out.append((start, end, length_class(len(token)), int(max(-64, min(MOST_BITS, math.floor(e))))))
     return out
 
 
