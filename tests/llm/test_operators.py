@@ -227,6 +227,13 @@ def test_html(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_recurrence_cuts_no_content(spark):
+    rows = [(i, "http://h.com/x", f"<div>furniture</div><div>own {i}, see <a href='/m'>more</a> and <span>this</span> here</div>" + ("<p>said again</p>" if i < 5 else "")) for i in range(60)]
+    rows += [(100 + i, "http://c.com/x", "<div><article><h1>T</h1><div>body</div><p>end</p></article></div>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"own {i}, see more and this here" + ("\nsaid again" if i < 5 else "") for i in range(60)}, **{100 + i: "T\nbody\nend" for i in range(5)}}
+
+
 def test_toxicity(spark, hostile, empty):
     bad = "you are an idiot and a moron"
     rows = [(i, (prose(i, 30) + (f" {bad}" if i % 4 == 0 else " you are kind"))) for i in range(400)]
