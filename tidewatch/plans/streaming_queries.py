@@ -95,7 +95,7 @@ def stream_join(spark, d):
     ev, doc = readers.table(spark, d, "events"), readers.table(spark, d, "documents")
     b = spark.readStream.schema(ev.schema).parquet(f"{d}/events.parquet*")
     b = b.select(F.col("event_id").cast("string").alias("event_id"), F.get_json_object("props", "$.k").alias("article_id"), F.col("event_type").alias("action"), F.unix_millis(F.col("ts").cast("timestamp")).alias("event_ms"), F.col("ts").cast("timestamp").alias("event_ts")).filter(F.col("action").isin(*batch.VALID))
-    a = spark.readStream.schema(doc.schema).parquet(f"{d}/documents.parquet*").filter(F.col("doc_id") < 100)
+    a = spark.readStream.schema(doc.schema).parquet(f"{d}/documents.parquet*")
     a = a.select(F.concat(F.lit("doc-"), "doc_id").alias("event_id"), F.col("doc_id").cast("string").alias("article_id"), F.col("lang").alias("title"), F.col("source").alias("category"), F.lit(1).alias("version"), F.lit(0).cast("long").alias("event_ms"), F.timestamp_millis(F.lit(0).cast("long")).alias("event_ts"))
     at = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{at}/out"
