@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, html_extract, langid, lz_fingerprint, minhash_dedup, mixing, pii, secrets, suffix_dedup, toxicity
+from tidewatch.llm import decontaminate, html_extract, joins, langid, lz_fingerprint, minhash_dedup, mixing, pii, secrets, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, _text string, copy int, score double"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -320,12 +320,25 @@ def test_minhash(spark, hostile, empty):
     assert kept.columns == hostile.columns and minhash_dedup.deduplicate(empty).count() == minhash_dedup.near_duplicates(empty).count() == 0
 
 
-def test_components_on_a_long_chain(spark):
-    from tidewatch.llm.joins import components
+@pytest.mark.parametrize("few", [joins.BROADCAST_IDS, 0])
+def test_components_on_a_long_chain_and_a_hub(spark, few, monkeypatch):
+    monkeypatch.setattr(joins, "few", lambda df, most=None: few > 0)
+    monkeypatch.setattr(joins, "HUB", 7)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (205, 203)] + [(1000 + i, 300) for i in range(50)], "a long, b long")
+    got = {r["node"]: r["component"] for r in joins.components(edges, joins.Scratch(spark)).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 203: 203, 205: 203, 300: 300, **{1000 + i: 300 for i in range(50)}}
 
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (205, 203)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 203: 203, 205: 203}
+
+def test_one_document_of_each_group_stays(spark):
+    a, b = prose(60, 90), prose(61, 90)
+    near = a.replace("alpha", "alpha.", 1)
+    rows = [(1, a, "x"), (1, a, "y"), (None, a, "z"), (2, near, "x"), (None, b, "x"), (None, b, "y"), (None, b + " tail", "x"), (7, None, "x"), (7, None, "y"), (9, prose(62, 90), "x"), (9, prose(63, 90), "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(5)
+    out = minhash_dedup.deduplicate(d).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out if r["text"] not in (b, b + " tail")) == sorted([(1, a), (7, ""), (7, ""), (9, rows[9][1]), (9, rows[10][1])])
+    assert len([r for r in out if r["text"] in (b, b + " tail")]) == 1
+    named = minhash_dedup.near_duplicates(d.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))).collect()
+    assert {r["component_id"] for r in named if r["doc_id"] in ("k1", "k2")} == {"k1"} and len(named) == len(rows)
 
 
 def test_secrets(spark, hostile, empty):
@@ -381,7 +394,7 @@ def test_multi_index_misses_no_fingerprint_in_the_radius():
         assert any(near[b][fp[b], k] for b in range(8))
 
 
-@pytest.mark.parametrize("split", [minhash_dedup.SPLIT, 5])
+@pytest.mark.parametrize("split", [minhash_dedup.SPLIT, 20])
 def test_near_dedup_loses_no_link_in_a_cloud_around_the_threshold(spark, split):
     """Edits of one text, most pairs of which lie close to the threshold: every link counts, however long the lists."""
     r = random.Random(7)

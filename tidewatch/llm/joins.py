@@ -1,45 +1,99 @@
-"""Joins whose small side is broadcast only after its size has been looked at, and connected components."""
+"""Tables kept in the shared folder, joins that broadcast a side only after a look at its size, and components."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+from contextlib import suppress
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.session import checkpoint_root
 
-#: ids up to which a list of ids is broadcast (8 bytes each, 4 MB and some overhead)
-BROADCAST_IDS = 500_000
+#: rows up to which a table of a few numbers a row is broadcast (at most some 10 MB)
+BROADCAST_IDS = 200_000
+#: links that one task takes from a single node
+HUB = 500
+
+
+class Scratch:
+    """Tables written to the shared folder, so that a lost executor costs no recomputation.
+
+    `drop` deletes them; what a lazy result still reads is deleted when the process ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count = spark, 0
+        self.root = f"{checkpoint_root(spark)}/scratch-{uuid.uuid4().hex}"
+        atexit.register(self._last)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        atexit.unregister(self._last)
+
+    def _last(self) -> None:
+        with suppress(Exception):  # the session may be gone by then
+            self.drop()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder, so that a lost executor costs no recomputation."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    """One table of its own scratch folder."""
+    return Scratch(df.sparkSession).store(df)
+
+
+def few(df: DataFrame, most: int = BROADCAST_IDS) -> bool:
+    """Whether a stored table has at most `most` rows."""
+    return df.limit(most + 1).count() <= most
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has few of them."""
+    return F.broadcast(df) if few(df) else df
 
 
 def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join of df with a stored table of distinct ids in `column`."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, column, how)
+    return df.join(sized(ids), column, how)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(a, b) links -> (node, component): the least node reachable.
 
     Labels fall to the least label among neighbours, then to the label of that label, so long chains halve with
-    each round. Every round is stored; neighbours' labels are reduced before the shuffle, so hubs stay light.
+    each round. Every round is stored. Labels are broadcast while they are few. Beyond that, links to a hub (a node
+    of more than HUB links) are dealt over several tasks by a salt, with its label repeated for each; joins by
+    component are plain exchanges, which adaptive execution splits.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = scratch.store(both)
+    labels = scratch.store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"), F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts")))
+    small = few(labels)
+    if not small:
+        hubs = scratch.store(labels.filter("salts > 1").select(F.col("node").alias("b"), "salts"))
+        both = scratch.store(both.join(sized(hubs), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int").alias("salt")))
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        step = labels.join(near, "node").select("node", "component", F.least("component", "_near").alias("_new"))
+        if small:
+            near = both.join(F.broadcast(labels.select(F.col("node").alias("b"), "component")), "b")
+        else:
+            near = both.join(labels.select(F.col("node").alias("b"), "component", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), ["b", "salt"])
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
+        step = labels.join(near, "node").select("node", "salts", "component", F.least("component", "_near").alias("_new"))
         # what the old label now points to: the least new label that any of its followers has seen
         root = step.groupBy(F.col("component").alias("_old")).agg(F.min("_new").alias("_root"))
-        jump = step.join(root, F.col("component") == F.col("_old")).select("node", F.col("component").alias("_was"), F.least("_new", "_root").alias("_new"))
         up = labels.select(F.col("node").alias("_new"), F.col("component").alias("_up"))
-        jump = stored(jump.join(up, "_new", "left").select("node", "_was", F.least("_new", F.coalesce("_up", "_new")).alias("component")))
-        labels = jump.select("node", "component")
+        root, up = (F.broadcast(root), F.broadcast(up)) if small else (root, up)
+        jump = step.join(root, F.col("component") == F.col("_old")).select("node", "salts", F.col("component").alias("_was"), F.least("_new", "_root").alias("_new"))
+        jump = scratch.store(jump.join(up, "_new", "left").select("node", "salts", "_was", F.least("_new", F.coalesce("_up", "_new")).alias("component")))
+        labels = jump.select("node", "salts", "component")
         if jump.filter("_was <> component").limit(1).count() == 0:
-            return labels
+            return labels.select("node", "component")
     raise RuntimeError("components didn't settle")
