@@ -320,9 +320,7 @@ def test_minhash(spark, hostile, empty):
     assert kept.columns == hostile.columns and minhash_dedup.deduplicate(empty).count() == minhash_dedup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("few", [joins.BROADCAST_IDS, 0])
-def test_components_on_a_long_chain_and_a_hub(spark, few, monkeypatch):
-    monkeypatch.setattr(joins, "few", lambda df, most=None: few > 0)
+def test_components_on_a_long_chain_and_a_hub(spark, monkeypatch):
     monkeypatch.setattr(joins, "HUB", 7)
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (205, 203)] + [(1000 + i, 300) for i in range(50)], "a long, b long")
     got = {r["node"]: r["component"] for r in joins.components(edges, joins.Scratch(spark)).collect()}

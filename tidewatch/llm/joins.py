@@ -1,4 +1,7 @@
-"""Tables kept in the shared folder, joins that broadcast a side only after a look at its size, and components."""
+"""Tables kept in the shared folder, and connected components.
+
+No join here forces a broadcast: a stored table's size is known to Catalyst, which broadcasts it below its threshold.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +14,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import checkpoint_root
 
-#: rows up to which a table of a few numbers a row is broadcast (at most some 10 MB)
-BROADCAST_IDS = 200_000
 #: links that one task takes from a single node
 HUB = 500
 
@@ -50,50 +51,28 @@ def stored(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).store(df)
 
 
-def few(df: DataFrame, most: int = BROADCAST_IDS) -> bool:
-    """Whether a stored table has at most `most` rows."""
-    return df.limit(most + 1).count() <= most
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """A stored table of narrow rows, to be broadcast if it has few of them."""
-    return F.broadcast(df) if few(df) else df
-
-
-def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
-    """Semi or anti join of df with a stored table of distinct ids in `column`."""
-    return df.join(sized(ids), column, how)
-
-
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
-    """(a, b) links -> (node, component): the least node reachable.
+    """(a, b) links, stored -> (node, component): the least node reachable.
 
     Labels fall to the least label among neighbours, then to the label of that label, so long chains halve with
-    each round. Every round is stored. Labels are broadcast while they are few. Beyond that, links to a hub (a node
-    of more than HUB links) are dealt over several tasks by a salt, with its label repeated for each; joins by
-    component are plain exchanges, which adaptive execution splits.
+    each round. Every round is stored; Catalyst broadcasts a round's table while its files are small. Beyond that,
+    links to a hub (a node of more than HUB links) are dealt over several tasks by a salt, with its label repeated
+    for each, and the joins by component are plain exchanges, which adaptive execution splits.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.store(both)
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = scratch.store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"), F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts")))
-    small = few(labels)
-    if not small:
-        hubs = scratch.store(labels.filter("salts > 1").select(F.col("node").alias("b"), "salts"))
-        both = scratch.store(both.join(sized(hubs), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int").alias("salt")))
+    hubs = labels.filter("salts > 1").select(F.col("node").alias("b"), "salts")
+    both = both.join(hubs, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
     for _ in range(most_rounds):
-        if small:
-            near = both.join(F.broadcast(labels.select(F.col("node").alias("b"), "component")), "b")
-        else:
-            near = both.join(labels.select(F.col("node").alias("b"), "component", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), ["b", "salt"])
-        near = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
+        dealt = labels.select(F.col("node").alias("b"), "component", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        near = both.join(dealt, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
         step = labels.join(near, "node").select("node", "salts", "component", F.least("component", "_near").alias("_new"))
         # what the old label now points to: the least new label that any of its followers has seen
         root = step.groupBy(F.col("component").alias("_old")).agg(F.min("_new").alias("_root"))
         up = labels.select(F.col("node").alias("_new"), F.col("component").alias("_up"))
-        root, up = (F.broadcast(root), F.broadcast(up)) if small else (root, up)
         jump = step.join(root, F.col("component") == F.col("_old")).select("node", "salts", F.col("component").alias("_was"), F.least("_new", "_root").alias("_new"))
         jump = scratch.store(jump.join(up, "_new", "left").select("node", "salts", "_was", F.least("_new", F.coalesce("_up", "_new")).alias("component")))
         labels = jump.select("node", "salts", "component")
-        if jump.filter("_was <> component").limit(1).count() == 0:
+        if jump.filter("_was <> component").isEmpty():
             return labels.select("node", "component")
     raise RuntimeError("components didn't settle")

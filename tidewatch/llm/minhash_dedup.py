@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.hashing import SPACES, shingles, words
-from tidewatch.llm.joins import Scratch, components, sized
+from tidewatch.llm.joins import Scratch, components
 
 K, MATCHES = 64, 32
 PREFIX = K - MATCHES + 1
@@ -103,12 +103,12 @@ def _set(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(*_digest(s), s.view(np.int64)) for s in sets], columns=SET.names)
 
 
-def _sets(texts: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_node, _set) of a stored table of nodes: texts meet by 64 bits of theirs, and are told by the digest of their set."""
-    nodes = nodes.select("_node", "_x", "_h1", "_h2")
-    one = texts.join(sized(nodes.select("_x").distinct()), "_x", "left_semi").dropDuplicates(["_x"])
+def _sets(texts: DataFrame, reps: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_node, _set) of `nodes`: texts meet by 64 bits of theirs, and are told by the digest of their set."""
+    nodes = reps.select("_node", "_x", "_h1", "_h2").join(nodes, "_node", "left_semi")
+    one = texts.join(nodes.select("_x").distinct(), "_x", "left_semi").dropDuplicates(["_x"])
     s = one.select("_x", _set("_text").alias("s")).select("_x", "s.set", F.col("s.h1").alias("_h1"), F.col("s.h2").alias("_h2"))
-    return scratch.store(s.join(sized(nodes), ["_x", "_h1", "_h2"]).select("_node", F.col("set").alias("_set")))
+    return scratch.store(s.join(nodes, ["_x", "_h1", "_h2"]).select("_node", F.col("set").alias("_set")))
 
 
 def _proposed(reps: DataFrame, split: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _labelled(nodes: DataFrame, label: DataFrame | None) -> DataFrame:
     """`nodes` with `_component`: that of the links, or the node itself."""
     if label is None:
         return nodes.withColumn("_component", F.col("_node"))
-    found = sized(label.select(F.col("node").alias("_node"), F.col("component").alias("_label")))
+    found = label.select(F.col("node").alias("_node"), F.col("component").alias("_label"))
     return nodes.join(found, "_node", "left").withColumn("_component", F.coalesce("_label", "_node")).drop("_label")
 
 
@@ -163,8 +163,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, split: int, scratch: Scra
     if label is not None:
         # the least id of a component: partial minima before the shuffle
         ends = label.select(F.col("node").alias("_node"), "component").join(classes.select("_node", "_least"), "_node")
-        least = sized(inner.store(ends.groupBy("component").agg(F.min("_least").alias("_of"))))
-        ends = sized(inner.store(ends.select("_node", "component").join(least, "component")))
+        least = ends.groupBy("component").agg(F.min("_least").alias("_of"))
+        ends = inner.store(ends.select("_node", "component").join(least, "component"))
         named = classes.join(ends, "_node", "left").select(*key, F.coalesce("component", "_node").alias("_component"), F.coalesce("_of", "_least").alias("_least"))
     # stored, so that both sides of the join are plain exchanges and AQE can split a large class
     named = scratch.store(named.select(*key, "_component", "_least"))
@@ -185,14 +185,13 @@ def _links(texts: DataFrame, reps: DataFrame, split: int, scratch: Scratch) -> D
     pairs = scratch.store(_proposed(reps, split))
     links, label = None, None
     if not pairs.isEmpty():
-        best = scratch.store(pairs.groupBy("b").agg(F.max_by("a", F.struct("bits", -F.col("a"))).alias("a")).select("a", "b"))
-        ends = scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct())
-        sets = _sets(texts, scratch.store(reps.select("_node", "_x", "_h1", "_h2").join(sized(ends), "_node", "left_semi")), scratch)
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("bits", -F.col("a"))).alias("a")).select("a", "b")
+        sets = _sets(texts, reps, pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), scratch)
         links = scratch.store(confirm(best, sets))
         label = components(links, scratch)
-        side = lambda c: sized(label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")))
+        side = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
         rest = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        rest = scratch.store(rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
+        rest = rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
         links, label = _more(links, label, confirm(rest, sets), scratch)
     return _skipped(texts, reps, links, label, scratch)
 
@@ -212,10 +211,10 @@ def _references(held: DataFrame, scratch: Scratch) -> DataFrame:
     leads = scored.groupBy("_key").agg(F.max(F.struct("_score", (-F.col("_node")).alias("_less"))).alias("m")).select("_key", (-F.col("m._less")).alias("_lead"))
     ref = scored.join(leads, "_key").groupBy("_node", "_lead").count().groupBy("_node").agg(F.max_by("_lead", F.struct("count", -F.col("_lead"))).alias("_ref"))
     ref = scratch.store(ref)
-    for _ in range(2):  # a reference's own reference leads both; scores only grow, so this ends
-        up = sized(ref.select(F.col("_node").alias("_ref"), F.col("_ref").alias("_up")))
-        ref = scratch.store(ref.join(up, "_ref", "left").select("_node", F.coalesce("_up", "_ref").alias("_ref")))
-    return ref
+    for _ in range(2):  # a reference's own reference leads both
+        up = ref.select(F.col("_node").alias("_ref"), F.col("_ref").alias("_up"))
+        ref = ref.join(up, "_ref", "left").select("_node", F.coalesce("_up", "_ref").alias("_ref"))
+    return scratch.store(ref)
 
 
 def _rarest(nodes: DataFrame, features: str, group: str, columns: list[str], scratch: Scratch) -> DataFrame:
@@ -243,21 +242,21 @@ def _met(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
 
 def _skipped(texts: DataFrame, reps: DataFrame, links: DataFrame | None, label: DataFrame | None, scratch: Scratch) -> DataFrame | None:
     """Step 4: labels with the links that the proposals skipped."""
-    r = scratch.store(_labelled(reps.select("_node", "_sig"), label))
+    r = _labelled(reps.select("_node", "_sig"), label)
     values = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("_sig")[k]) for k in range(K)])).alias("_key")
     mixed = r.select("_component", values).groupBy("_key").agg(F.min("_component").alias("_least"), F.max("_component").alias("_most"), F.count(F.lit(1)).alias("_entries"))
     mixed = scratch.store(mixed.filter("_least <> _most").select("_key", "_entries"))
-    held = r.select("_node", values).join(sized(mixed), "_key").groupBy("_node").agg(F.sort_array(F.collect_list(F.struct("_entries", "_key"))).alias("_held"))
+    held = r.select("_node", values).join(mixed, "_key").groupBy("_node").agg(F.sort_array(F.collect_list(F.struct("_entries", "_key"))).alias("_held"))
     held = scratch.store(held.filter(F.size("_held") >= MATCHES))
     if held.isEmpty():
         return label
     ref = _references(held, scratch)
-    sets = _sets(texts, scratch.store(reps.select("_node", "_x", "_h1", "_h2").join(sized(ref.select("_node")), "_node", "left_semi")), scratch)
+    sets = _sets(texts, reps, ref.select("_node"), scratch)
     # a reference with many nodes is dealt over several tasks
-    parts = scratch.store(ref.groupBy("_ref").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_parts")))
-    mine = ref.join(sized(parts), "_ref").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int")).select("_node", "_ref", "_part")
-    of = sets.join(sized(parts.withColumnRenamed("_ref", "_node")), "_node").select(F.col("_node").alias("_ref"), F.col("_set").alias("_base"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    x = sets.join(sized(scratch.store(mine)), "_node").join(of, ["_ref", "_part"])
+    parts = ref.groupBy("_ref").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_parts"))
+    mine = ref.join(parts, "_ref").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int")).select("_node", "_ref", "_part")
+    of = sets.join(parts.withColumnRenamed("_ref", "_node"), "_node").select(F.col("_node").alias("_ref"), F.col("_set").alias("_base"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    x = sets.join(mine, "_node").join(of, ["_ref", "_part"])
     x = x.select("_node", "_ref", "_set", F.size("_set").alias("_n"), F.size("_base").alias("_h"), F.array_except("_base", "_set").alias("_m"), F.array_except("_set", "_base").alias("_d"))
     x = x.withColumn("_i", F.size("_set") - F.size("_d"))
     feature = lambda sign, c: F.transform(c, lambda s: F.xxhash64(F.col("_ref"), F.lit(sign), s))
@@ -267,7 +266,7 @@ def _skipped(texts: DataFrame, reps: DataFrame, links: DataFrame | None, label:
         F.when(F.col("_near"), F.concat(feature(0, "_m"), feature(1, "_d"))).otherwise(F.array()).alias("_features")))
     found = x.filter(F.col("_node") != F.col("_ref")).filter(_linked(F.col("_i"), F.col("_n") + F.col("_h")))
     links, label = _more(links, label, found.select(F.least("_node", "_ref").alias("a"), F.greatest("_node", "_ref").alias("b")), scratch)
-    x = scratch.store(_labelled(x, label).withColumn("_group", F.when(F.col("_near"), F.col("_ref")).otherwise(F.col("_node"))))
+    x = _labelled(x, label).withColumn("_group", F.when(F.col("_near"), F.col("_ref")).otherwise(F.col("_node")))
 
     # one reference: differences collide; _w is 7 w. One node of a pair isn't linked with the reference, which bounds its overlap
     least = F.least("_lefta", "_leftb")
@@ -275,17 +274,17 @@ def _skipped(texts: DataFrame, reps: DataFrame, links: DataFrame | None, label:
     far = _posted(near.filter("_w > _h"), F.greatest(F.lit(1), F.ceil((F.col("_w") - F.col("_h")) / 4)).cast("int"), "a")
     met = _met(far, _posted(near, (F.floor(F.col("_w") / 7) + 1).cast("int"), "b"), least * 7 >= F.col("_wa") + F.col("_wb") - F.col("_ha"))
     # different references: shingles collide, of nodes that share enough coordinates with other references' nodes
-    keys = held.select("_node", F.explode("_held._key").alias("_key")).join(sized(scratch.store(x.select("_node", "_group"))), "_node")
-    between = scratch.store(keys.groupBy("_key").agg(F.min("_group").alias("_lo"), F.max("_group").alias("_hi")).filter("_lo <> _hi").select("_key"))
-    open_ = scratch.store(keys.join(sized(between), "_key").groupBy("_node").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= MATCHES).select("_node"))
-    apart = _rarest(x.join(sized(open_), "_node", "left_semi"), "_set", "_group", ["_node", "_component", "_group", "_n"], scratch)
+    keys = held.select("_node", F.explode("_held._key").alias("_key")).join(x.select("_node", "_group"), "_node")
+    between = keys.groupBy("_key").agg(F.min("_group").alias("_lo"), F.max("_group").alias("_hi")).filter("_lo <> _hi").select("_key")
+    open_ = keys.join(between, "_key").groupBy("_node").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= MATCHES).select("_node")
+    apart = _rarest(x.join(open_, "_node", "left_semi"), "_set", "_group", ["_node", "_component", "_group", "_n"], scratch)
     apart = [_posted(apart, F.ceil(F.col("_n") * NUMERATOR / DENOMINATOR).cast("int"), s) for s in "ab"]
     total = F.col("_na") + F.col("_nb")
     met = met.union(_met(*apart, (F.col("_nodea") < F.col("_nodeb")) & (F.col("_groupa") != F.col("_groupb")) & _linked(least, total)))
     met = scratch.store(met.distinct())
     if met.isEmpty():
         return label
-    ends = sized(scratch.store(met.select(F.explode(F.array("a", "b")).alias("_node")).distinct()))
+    ends = met.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
     return _more(links, label, confirm(met, x.select("_node", "_set").join(ends, "_node", "left_semi")), scratch)[1]
 
 
@@ -300,15 +299,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = inner.store(best.select("_component", F.col("m._id").alias("_best"), F.col("m._x").alias("_bx")))
     same = F.col("_id").eqNullSafe(F.col("_best")) & (F.col("_x") == F.col("_bx"))
     # what goes, and what stays once of several equal rows
-    rows = rows.join(sized(best), "_component").groupBy("_id", "_x").agg(F.max(same).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    rows = rows.join(best, "_component").groupBy("_id", "_x").agg(F.max(same).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
     listed = inner.store(rows.filter("not _stays or _rows > 1"))
     key = (F.col("_id").eqNullSafe(F.col("_gid"))) & (F.col("_x") == F.col("_gx"))
     gone, once = (scratch.store(listed.filter(c).select(F.col("_id").alias("_gid"), F.col("_x").alias("_gx"))) for c in ("not _stays", "_stays"))
     inner.drop()
-    d = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x")).join(sized(gone), key, "left_anti")
+    d = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x")).join(gone, key, "left_anti")
     if once.isEmpty():
         return d.select("_row.*")
-    once = sized(once)
+    once = once
     single = d.join(once, key, "left_anti")
     return single.unionByName(d.join(once, key, "left_semi").dropDuplicates(["_id", "_x"])).select("_row.*")
 
