@@ -4,8 +4,9 @@ Every letter has a random vector of +-1; a trigram's vector binds its letters' v
 (a product), and a text's vector bundles those of its trigrams (a sum). A language's prototype bundles its
 training texts. A text gets the language whose prototype has the largest cosine with it.
 
-Letters share 127 slots (Latin-1 has one slot a letter, others go by code point), so trigrams have at most 2^21
-codes. A text is encoded whole: its distinct trigrams in chunks, so memory doesn't follow its length.
+Each letter of Unicode has its own vector, drawn from the seed and its code point. A text is encoded whole: its
+distinct trigrams in chunks, so memory doesn't follow its length. A model is one vector (4 KB) per language; the
+driver holds it.
 
 Defined results: null texts and texts without a letter get UND and score 0; repeated rows get the same result;
 without any training text all get UND; an empty table gives an empty result; ties go to the language that is
@@ -20,69 +21,75 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UND = "und"
+FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 DIMENSIONS, SEED, CHUNK, CACHED = 512, 7, 16_384, 32_768
-#: languages that a model may have: prototypes of this number are 8 MB
-MOST_LANGUAGES = 4096
+#: bits of a code point
+WIDTH = 21
 
 _tables: dict = {}
 
 
-def letter_slots() -> np.ndarray:
-    """Slot of each code point: 0 for what isn't a letter."""
-    if "slots" not in _tables:
-        t = np.zeros(0x110000, np.uint8)
-        low = [c for c in range(256) if chr(c).isalpha() and chr(c).lower() == chr(c)]
-        for i, c in enumerate(low):
-            t[c] = 1 + i
-        base = 1 + len(low)
-        rest = [c for c in range(256, 0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha()]
-        t[rest] = base + np.array(rest) % (128 - base)
-        _tables["slots"] = t
-    return _tables["slots"]
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    if "letters" not in _tables:
+        _tables["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return _tables["letters"]
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Codes of a text's trigrams over lower-case letters, with one boundary between words."""
+    """Codes of a text's trigrams over lower-case letters (three code points each), with one boundary, 0, between words."""
     if not text:
         return np.empty(0, np.int64)
-    s = letter_slots()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    s = np.concatenate(([0], s, [0]))
+    s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.concatenate(([0], np.where(letters()[s], s, 0).astype(np.int64), [0]))
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     s = s[keep]
     if len(s) < 3:
         return np.empty(0, np.int64)
-    return (s[:-2] << 14) | (s[1:-1] << 7) | s[2:]
+    return (s[:-2] << 2 * WIDTH) | (s[1:-1] << WIDTH) | s[2:]
 
 
 class Space:
-    """Trigram vectors, made on demand; the first CACHED of them are kept."""
+    """Trigram vectors, made on demand; the first CACHED of them are kept. Every letter of Unicode has a vector of its own, drawn from its code point."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        letters = np.random.default_rng(seed).integers(0, 2, (128, dimensions)).astype(np.float32) * 2 - 1
-        self.d = dimensions
-        self.third, self.second, self.first = letters, np.roll(letters, 1, 1), np.roll(letters, 2, 1)
-        self.at, self.n = np.full(1 << 21, -1, np.int32), 0
+        self.d, self.seed = dimensions, seed
+        self.letter: dict[int, np.ndarray] = {}
+        self.codes, self.at = np.empty(0, np.int64), np.empty(0, np.int64)  # sorted codes, and their rows
         self.rows = np.empty((0, dimensions), np.float32)
 
+    def _letters(self, points: np.ndarray, shift: int) -> np.ndarray:
+        distinct, back = np.unique(points, return_inverse=True)
+        for c in distinct.tolist():
+            if c not in self.letter:
+                self.letter[c] = np.random.default_rng([self.seed, c]).integers(0, 2, self.d).astype(np.float32) * 2 - 1
+        return np.roll(np.array([self.letter[c] for c in distinct.tolist()]), shift, 1)[back]
+
     def make(self, codes: np.ndarray) -> np.ndarray:
-        return self.first[codes >> 14] * self.second[(codes >> 7) & 127] * self.third[codes & 127]
+        mask = (1 << WIDTH) - 1
+        return self._letters(codes >> 2 * WIDTH, 2) * self._letters(codes >> WIDTH & mask, 1) * self._letters(codes & mask, 0)
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        new = codes[self.at[codes] < 0]
-        if len(new):
-            if self.n + len(new) > CACHED:
-                return self.make(codes)
-            if self.n + len(new) > len(self.rows):
-                grown = np.empty((min(CACHED, max(2 * len(self.rows), self.n + len(new), 4096)), self.d), np.float32)
-                grown[: self.n] = self.rows[: self.n]
-                self.rows = grown
-            self.rows[self.n : self.n + len(new)] = self.make(new)
-            self.at[new] = np.arange(self.n, self.n + len(new))
-            self.n += len(new)
-        return self.rows[self.at[codes]]
+        """Of distinct codes."""
+        if not len(codes):
+            return np.empty((0, self.d), np.float32)
+        k = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
+        known = self.codes[k] == codes if len(self.codes) else np.zeros(len(codes), bool)
+        if known.all():
+            return self.rows[self.at[k]]
+        out = np.empty((len(codes), self.d), np.float32)
+        out[known] = self.rows[self.at[k[known]]] if known.any() else 0
+        out[~known] = new = self.make(codes[~known])
+        if len(self.codes) + len(new) <= CACHED:
+            every = np.concatenate((self.codes, codes[~known]))
+            order = np.argsort(every)
+            self.at = np.concatenate((self.at, np.arange(len(self.rows), len(self.rows) + len(new))))[order]
+            self.codes, self.rows = every[order], np.concatenate((self.rows, new))
+        return out
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.zeros(self.d, np.float32)
@@ -135,9 +142,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = training.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     parts = rows.mapInPandas(_profiles, "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    whole = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
-    if len(whole) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    whole = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()  # a row per language
     out = {}
     for r in sorted(whole, key=lambda r: r["lang"]):
         v = np.array([c["x"] for c in r["v"]])
@@ -148,7 +153,6 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score (the cosine, at least 0) of every row."""
     names, matrix = list(model), np.array(list(model.values()), np.float32)
-    schema = docs.select(F.col(id_col), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def one(text: str | None) -> tuple[str, float]:
         codes, counts = np.unique(trigrams(text), return_counts=True)
@@ -159,9 +163,9 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
         k = int(np.argmax(cos))
         return names[k], float(min(max(cos[k], 0.0), 1.0))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            found = [one(t) for t in p["_text"]]
-            yield pd.DataFrame({id_col: p[id_col], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+    @F.pandas_udf(FOUND)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=FOUND.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    # ids stay outside of Python
+    return docs.select(F.col(id_col), found(F.col(text_col)).alias("_f")).select(F.col(id_col), "_f.lang_pred", "_f.score")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.langid import held_out, letter_slots, trigrams
+from tidewatch.llm.langid import held_out
 
 SAMPLE, FEATURES, LEAST_DOCUMENTS = 20_000, 3000, 4
 PREFIXES = (3, 4, 5, 6, 7)
@@ -48,6 +48,35 @@ ODD = re.compile(r"[^\W\d_]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SUSPECT = re.compile(r"[0-9@$!|+(€£¡*#?.\-_~'’·]|([^\W\d_])\1\1")
 
+_slots: dict = {}
+
+
+def letter_slots() -> np.ndarray:
+    """Slot of each code point in the character model: 0 for what isn't a letter; letters beyond Latin-1 share slots."""
+    if "slots" not in _slots:
+        t = np.zeros(0x110000, np.uint8)
+        low = [c for c in range(256) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+        for i, c in enumerate(low):
+            t[c] = 1 + i
+        base = 1 + len(low)
+        rest = [c for c in range(256, 0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha()]
+        t[rest] = base + np.array(rest) % (128 - base)
+        _slots["slots"] = t
+    return _slots["slots"]
+
+
+def trigrams(text: str | None) -> np.ndarray:
+    """Codes of a text's trigrams over lower-case letters, with one boundary between words."""
+    if not text:
+        return np.empty(0, np.int64)
+    s = letter_slots()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    s = np.concatenate(([0], s, [0]))
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
+    s = s[keep]
+    if len(s) < 3:
+        return np.empty(0, np.int64)
+    return (s[:-2] << 14) | (s[1:-1] << 7) | s[2:]
 
 class Channel:
     """Restores tokens under a trigram model: table[code] is the log-probability of a trigram's last letter."""
