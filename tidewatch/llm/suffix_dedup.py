@@ -16,6 +16,8 @@ suffix of the corpus in one place isn't possible, so suffixes are first dealt by
 Cores are compared by 64-bit hashes and whole runs by another 64 bits within the core; the suffix arrays
 compare bytes.
 
+Texts are told by 128 bits. Of equal texts one is cut into windows; all of them lose every byte.
+
 Defined results: a null text counts as empty; texts shorter than LENGTH keep all; repeated rows repeat each other,
 so all their windows go; an empty table gives an empty result; other columns are ignored.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.hashing import mix
-from tidewatch.llm.joins import stored
+from tidewatch.llm.joins import Scratch
 
 LENGTH, GRAM = 200, 32
 SIDE = (LENGTH - GRAM) // 2
@@ -168,9 +170,19 @@ def union(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RUNS = T.StructType([T.StructField(n, T.LongType()) for n in ("_dk", "_a", "_r", "_s", "_w", "_p")])
-EDGES = T.StructType([T.StructField("_route", T.LongType()), T.StructField("_dk", T.LongType()), T.StructField("_s", T.LongType()), T.StructField("_p", T.LongType()), T.StructField("_bytes", T.BinaryType())])
-COVERED = T.StructType([T.StructField("_dk", T.LongType()), T.StructField("_lo", T.LongType()), T.StructField("_hi", T.LongType())])
+#: a text's key, 128 bits of it
+KEY = ["_k1", "_k2"]
+
+
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType()) for n in names]
+
+
+#: _q is a run's first window, number of windows and anchor's place, the latter two in 8 bits each
+RUNS = T.StructType(_longs(*KEY, "_a", "_r", "_q"))
+EDGES = T.StructType([*_longs("_route", *KEY, "_s", "_p"), T.StructField("_bytes", T.BinaryType())])
+COVERED = T.StructType(_longs(*KEY, "_lo", "_hi"))
+CUT = T.StructType([*_longs("n_bytes", "n_removed", "n_spans"), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.BinaryType())])
 
 
 def _bytes(text: str) -> bytes:
@@ -180,12 +192,12 @@ def _bytes(text: str) -> bytes:
 def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         out, size = [], 0
-        for dk, text in zip(p["_dk"], p["_text"], strict=True):
+        for k1, k2, text in zip(p["_k1"], p["_k2"], p["_text"], strict=True):
             data = _bytes(text)
             a, s, w, place = runs(data)
             if len(a):
                 r = np.fromiter((xxhash.xxh3_64_intdigest(data[x : x + n + LENGTH - 1], q) for x, n, q in zip(s.tolist(), w.tolist(), place.tolist(), strict=True)), np.uint64, len(a))
-                out.append(np.stack((np.full(len(a), dk, np.int64), a, r.view(np.int64), s, w, place)))
+                out.append(np.stack((np.full(len(a), k1, np.int64), np.full(len(a), k2, np.int64), a, r.view(np.int64), s << 16 | w << 8 | place)))
                 size += len(a)
             if size > 100_000:
                 yield pd.DataFrame(dict(zip(RUNS.names, np.concatenate(out, axis=1), strict=True)))
@@ -197,26 +209,26 @@ def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         rows = []
-        for dk, text, found in zip(p["_dk"], p["_text"], p["_edges"], strict=True):
+        for k1, k2, text, found in zip(p["_k1"], p["_k2"], p["_text"], p["_edges"], strict=True):
             data = _bytes(text)
             seen: dict[tuple, int] = {}
             for e in found:
-                a, s, w, place = e["_a"], e["_s"], e["_w"], e["_p"]
+                a, s, w, place = e["_a"], e["_q"] >> 16, e["_q"] >> 8 & 255, e["_q"] & 255
                 piece = data[s : s + w + LENGTH - 1]
                 # equal runs of one text settle each other (without bytes: the row is a covered span); one goes on
                 before = seen.setdefault((a, place, piece), s)
                 if before != s:
-                    rows.append((dk, dk, s, len(piece), None))
+                    rows.append((k1, k1, k2, s, len(piece), None))
                     if before >= 0:
-                        rows.append((dk, dk, before, len(piece), None))
+                        rows.append((k1, k1, k2, before, len(piece), None))
                         seen[a, place, piece] = -1
                     continue
                 if not e["_hot"]:
-                    rows.append((a, dk, s, place, piece))
+                    rows.append((a, k1, k2, s, place, piece))
                     continue
                 for block in range((place - w + 1) // BLOCK, place // BLOCK + 1):
                     x, y = max(0, place - (block + 1) * BLOCK + 1), min(w, place - block * BLOCK + 1)
-                    rows.append((a ^ (block + 1) * 0x1E3779B97F4A7C15 & (1 << 62) - 1, dk, s + x, place - x, data[s + x : s + y + LENGTH - 1]))
+                    rows.append((a ^ (block + 1) * 0x1E3779B97F4A7C15 & (1 << 62) - 1, k1, k2, s + x, place - x, data[s + x : s + y + LENGTH - 1]))
             if len(rows) > 20_000:
                 yield pd.DataFrame(rows, columns=EDGES.names)
                 rows = []
@@ -225,12 +237,12 @@ def _edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One task's runs, in order of route; families cover whole routes, a bounded number of runs at a time unless one route has more."""
-    dk, s, place, data, route = [], [], [], [], []
+    k1, k2, s, place, data, route = [], [], [], [], [], []
 
     def settle(k: int) -> pd.DataFrame:
         found = repeats(data[:k], np.array(place[:k]))
-        rows = [(dk[i], s[i] + a, s[i] + b) for i, f in enumerate(found) for a, b in spans(np.flatnonzero(f))]
-        for x in (dk, s, place, data, route):
+        rows = [(k1[i], k2[i], s[i] + a, s[i] + b) for i, f in enumerate(found) for a, b in spans(np.flatnonzero(f))]
+        for x in (k1, k2, s, place, data, route):
             del x[:k]
         return pd.DataFrame(rows, columns=COVERED.names)
 
@@ -238,10 +250,11 @@ def _search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = p["_bytes"].notna()
         if not open_.all():
             q = p[~open_]
-            yield pd.DataFrame({"_dk": q["_dk"], "_lo": q["_s"], "_hi": q["_s"] + q["_p"]})
+            yield pd.DataFrame({"_k1": q["_k1"], "_k2": q["_k2"], "_lo": q["_s"], "_hi": q["_s"] + q["_p"]})
             p = p[open_]
         route += p["_route"].tolist()
-        dk += p["_dk"].tolist()
+        k1 += p["_k1"].tolist()
+        k2 += p["_k2"].tolist()
         s += p["_s"].tolist()
         place += p["_p"].tolist()
         data += p["_bytes"].tolist()
@@ -257,38 +270,45 @@ def _search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and if asked kept_text, its remaining bytes."""
+    scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    d = d.withColumn("_dk", F.xxhash64(F.col("_id"), F.col("_text")))
-    every = d.filter(F.octet_length("_text") >= LENGTH).select("_dk", "_text").mapInPandas(_runs, RUNS)
+    d = d.withColumn("_k1", F.xxhash64("_text")).withColumn("_k2", F.xxhash64(F.lit(1), "_text"))
+    # texts that occur more than once go whole; one of each stands for them among the others
+    long = d.filter(F.octet_length("_text") >= LENGTH)
+    copied = scratch.store(long.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(*KEY))
+    single = long.join(copied, KEY, "left_anti")
+    one = single.select(*KEY, "_text").unionByName(long.join(copied, KEY, "left_semi").select(*KEY, "_text").dropDuplicates(KEY))
+    every = one.mapInPandas(_runs, RUNS)
     # per core, with partial sums before the shuffle: how many runs, and whether they are all one string
     counted = every.groupBy("_a").agg(F.count(F.lit(1)).alias("_c"), (F.min("_r") == F.max("_r")).alias("_one")).filter("_c > 1")
     # stored, so that the join's two sides are plain exchanges, of which AQE splits a hot core's
-    counted = stored(counted.select("_a", "_one", (F.col("_c") > HOT).alias("_hot")))
-    repeated = every.select("_dk", "_a", "_s", "_w", "_p").join(counted, "_a")
-    run = F.struct("_a", "_s", "_w", "_p", "_hot")
-    whole = F.struct(F.col("_s").alias("_lo"), (F.col("_s") + F.col("_w") + (LENGTH - 1)).alias("_hi"))
-    # a document's runs: at most one per byte of it
-    by_doc = stored(repeated.groupBy("_dk").agg(F.collect_list(F.when(F.col("_one"), whole)).alias("_whole"), F.collect_list(F.when(~F.col("_one"), run)).alias("_edges")))
-    # the texts are dealt by _dk once, for this join and for the last one
-    edges = d.join(by_doc.filter(F.size("_edges") > 0).select("_dk", "_edges"), "_dk").select("_id", "_dk", "_text", "_edges").mapInPandas(_edges, EDGES)
-    found = edges.repartition(F.col("_route")).sortWithinPartitions("_route").select("_route", "_dk", "_s", "_p", "_bytes").mapInPandas(_search, COVERED)
-    covered = found.groupBy("_dk").agg(F.collect_list(F.struct("_lo", "_hi")).alias("_found"))
-    n = F.lit(0).cast("long")
-    columns = [F.col("_id").alias(id_col), n.alias("n_bytes"), n.alias("n_removed"), n.alias("n_spans"), F.lit("").alias("kept_sha256")] + ([F.lit("").cast("binary").alias("kept_text")] if with_text else [])
-    schema = d.select(*columns).schema
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for i, text, w, f in zip(p["_id"], p["_text"], p["_whole"], p["_found"], strict=True):
-                data = _bytes(text)
-                gone = union([(x["_lo"], x["_hi"]) for part in (w, f) if part is not None for x in part])
-                edge = [0, *[x for s in gone for x in s], len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
-                rows.append((i, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            f = pd.DataFrame(rows, columns=schema.names)
-            f[id_col] = p["_id"].to_numpy()
-            yield f
-
-    flags = by_doc.select("_dk", "_whole").join(covered, "_dk", "full_outer")
-    return d.join(flags, "_dk", "left").select("_id", "_text", "_whole", "_found").mapInPandas(cut, schema)
+    counted = scratch.store(counted.select("_a", "_one", (F.col("_c") > HOT).alias("_hot")))
+    repeated = every.select(*KEY, "_a", "_q").join(counted, "_a")
+    run = F.struct("_a", "_q", "_hot")
+    first, windows = F.shiftright("_q", 16), F.shiftright("_q", 8).bitwiseAND(F.lit(255))
+    whole = F.struct(first.alias("_lo"), (first + windows + (LENGTH - 1)).alias("_hi"))
+    # a text's runs: at most one per byte of it
+    by_doc = scratch.store(repeated.groupBy(*KEY).agg(F.collect_list(F.when(F.col("_one"), whole)).alias("_whole"), F.collect_list(F.when(~F.col("_one"), run)).alias("_edges")))
+    # the texts are dealt by their key once, for this join and for the last one
+    edges = one.join(by_doc.filter(F.size("_edges") > 0).select(*KEY, "_edges"), KEY).mapInPandas(_edges, EDGES)
+    found = edges.repartition(F.col("_route")).sortWithinPartitions("_route").select("_route", *KEY, "_s", "_p", "_bytes").mapInPandas(_search, COVERED)
+    covered = found.groupBy(*KEY).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_found"))
+    spans_ = by_doc.select(*KEY, "_whole").join(covered, KEY, "full_outer")
+
+    @F.pandas_udf(CUT)
+    def cut(texts: pd.Series, wholes: pd.Series, founds: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, w, f in zip(texts, wholes, founds, strict=True):
+            data = _bytes(text)
+            gone = union([(x["_lo"], x["_hi"]) for part in (w, f) if part is not None for x in part])
+            edge = [0, *[x for s in gone for x in s], len(data)]
+            kept = b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
+            rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        return pd.DataFrame(rows, columns=CUT.names)
+
+    names = CUT.names if with_text else CUT.names[:-1]
+    # ids stay outside of Python
+    rest = d.join(copied, KEY, "left_anti").join(spans_, KEY, "left").select("_id", cut("_text", "_whole", "_found").alias("_f")).select(F.col("_id").alias(id_col), *[F.col(f"_f.{c}") for c in names])
+    n = F.octet_length("_text").cast("long")
+    emptied = [n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept_text")]
+    return rest.unionByName(d.join(copied, KEY, "left_semi").select(F.col("_id").alias(id_col), *emptied[: len(names)]))
