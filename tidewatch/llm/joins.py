@@ -46,11 +46,6 @@ class Scratch:
             self.drop()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """One table of its own scratch folder."""
-    return Scratch(df.sparkSession).store(df)
-
-
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(a, b) links, stored -> (node, component): the least node reachable.
 
