@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -45,6 +46,10 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
+#: evidence of a token that fails the battery
+FAILED = -1000
+_COUNTS = [T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex")]
+FOUND = T.StructType([*_COUNTS, T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_random", T.LongType())])
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -107,14 +112,17 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str, base: list, bits: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(start, end, class of length, evidence in bits) of tokens outside the base spans that pass the battery."""
+    """(start, end, class of length, evidence in bits) of tokens outside the base spans; FAILED for those that fail the battery."""
     out = []
     for start, end in tokens(text):
         if any(s < end and start < e for s, _, e in base):
             continue
         token = text[start:end]
         kind = encoding(token)
-        if kind is None or battery(token, kind) < LEAST_P:
+        if kind is None:
+            continue
+        if battery(token, kind) < LEAST_P:
+            out.append((start, end, length_class(len(token)), FAILED))
             continue
         x = np.frombuffer(token.rstrip("=").encode(), np.uint8)
         e = float(-np.log2(len(ALPHABETS[kind])) * len(x) - bits[x].sum())
@@ -144,7 +152,11 @@ def character_bits(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def bounds(docs: DataFrame, bits: np.ndarray, text_col: str = "text", alpha: float = ALPHA) -> list[int]:
-    """Per class of length the least evidence that is kept: the largest k with e_(k) >= m / (k alpha)."""
+    """Per class of length the least evidence that is kept: the largest k with e_(k) >= m / (k alpha).
+
+    m counts every token that was tested, also those that the battery rejects: their e-value is the likelihood ratio
+    times an indicator that is 0, which is at most the ratio, so the control holds for the two tests together.
+    """
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[int, int], int] = {}
         for p in parts:
@@ -160,7 +172,7 @@ def bounds(docs: DataFrame, bits: np.ndarray, text_col: str = "text", alpha: flo
         m, above, least = sum(n for _, n in mine), 0, MOST_BITS + 1
         for e, n in mine:
             above += n
-            if e >= math.log2(m / (above * alpha)):
+            if e > FAILED and e >= math.log2(m / (above * alpha)):
                 least = e
         out.append(least)
     return out
@@ -174,20 +186,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """id, n_assign, n_access, n_hex, base_sha256, spans and n_random of every row."""
     bits = character_bits(docs, text_col)
     least = bounds(docs, bits, text_col)
-    n = F.lit(0).cast("long")
-    schema = docs.select(F.col(id_col), n.alias("n_assign"), n.alias("n_access"), n.alias("n_hex"), F.lit("").alias("base_sha256"), F.lit("").alias("spans"), n.alias("n_random")).schema
-
     def one(text: str) -> tuple:
         base = base_spans(text)
-        more = [(s, "random", e) for s, e, c, x in candidates(text, base, bits) if x >= least[c]]
+        more = [(s, "random", e) for s, e, c, x in candidates(text, base, bits) if x > FAILED and x >= least[c]]
         every = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))
         kinds = [k for _, k, _ in base]
         return (*map(kinds.count, KINDS[:3]), hashlib.sha256(_join(base).encode()).hexdigest(), _join(every), len(more))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            f = pd.DataFrame([one(t) for t in p["_text"]], columns=schema.names[1:])
-            f.insert(0, id_col, p[id_col].to_numpy())
-            yield f
+    @F.pandas_udf(FOUND)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=FOUND.names)
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(run, schema)
+    # ids stay outside of Python
+    return docs.select(F.col(id_col), found(F.coalesce(F.col(text_col), F.lit(""))).alias("_f")).select(F.col(id_col), *[F.col(f"_f.{c}") for c in FOUND.names])
