@@ -14,6 +14,8 @@ A document shorter than an item is one window.
 The items are broadcast in slices of at most ITEMS_AT_ONCE rows and CHARS_AT_ONCE characters; a larger
 benchmark takes more passes.
 
+An item of fewer than five words has no shingle: it is found where its words stand in a row, with similarity 1.
+
 Defined results: null and empty texts match nothing, nor do empty items; repeated rows get the same result, and
 repeated items count once each; an empty table gives an empty result; other columns are ignored (kept by
 `clean`).
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.hashing import LETTERS, mix, shingles, words
+from tidewatch.llm.hashing import LETTERS, SHINGLE, mix, shingles, words
 
 SIMILARITY, BITS, BLOCKS, NEAR, RADIUS = 0.75, 64, 8, 2, 23
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 16_000_000
@@ -37,10 +39,9 @@ _SHIFTS = np.arange(BITS, dtype=np.uint64)
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def text_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in order, and the words' byte offsets."""
-    w, start, _ = words((text or "").lower().encode("utf-8", "surrogatepass"), LETTERS)
-    return shingles(w), start
+def text_words(text: str | None) -> np.ndarray:
+    """Word hashes in order."""
+    return words((text or "").lower().encode("utf-8", "surrogatepass"), LETTERS)[0]
 
 
 def signs(s: np.ndarray) -> np.ndarray:
@@ -51,8 +52,13 @@ class Items:
     """The benchmark's fingerprints by length, its shingle weights and a filter of its shingles."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        sets = [(i, text_shingles(t)[0]) for i, t in rows]
-        sets = [(i, s) for i, s in sets if len(s)]
+        found = [(i, text_words(t)) for i, t in rows]
+        sets = [(i, shingles(w)) for i, w in found if len(w) >= SHINGLE]
+        # items too short for a shingle: by number of words, which items are that run of words
+        self.short: dict[int, dict[int, list]] = {}
+        for i, w in found:
+            if 0 < len(w) < SHINGLE:
+                self.short.setdefault(len(w), {}).setdefault(int(shingles(w, len(w))[0]), []).append(i)
         every, counts = np.unique(np.concatenate([np.unique(s) for _, s in sets]) if sets else np.empty(0, np.uint64), return_counts=True)
         self.known = every
         self.weight = np.log1p(len(sets) / counts.astype(np.float64))
@@ -87,9 +93,19 @@ class Items:
         both = self.weights(np.intersect1d(a, b, assume_unique=True)).sum()
         return float(both / max(self.weights(a).sum() + self.weights(b).sum() - both, 1e-12))
 
-    def match(self, s: np.ndarray, similarity: float) -> list[tuple[int, float, int, int, int]]:
-        """(item, similarity, bits apart, first shingle, shingles) of each item's best window in a text."""
-        hits = self.shared(s)
+    def match(self, w: np.ndarray, similarity: float) -> list[tuple[int, float, int, int, int]]:
+        """(item, similarity, bits apart, first word, words) of each item's best window in a text of words w."""
+        out = []
+        for n, items in self.short.items():
+            if len(w) >= n:
+                runs = shingles(w, n)
+                for k in np.flatnonzero(np.isin(runs, np.fromiter(items, np.uint64, len(items)))).tolist():
+                    out += [(i, 1.0, 0, k, n) for i in items[int(runs[k])]]
+        s = shingles(w) if len(w) >= SHINGLE else np.empty(0, np.uint64)
+        return self._best(out + self._near(s, similarity))
+
+    def _near(self, s: np.ndarray, similarity: float) -> list[tuple[int, float, int, int, int]]:
+        hits = self.shared(s) if len(s) else s
         if not len(hits):
             return []
         out = []
@@ -99,6 +115,10 @@ class Items:
             low, high = max(0, int(group[0]) - longest + 1), min(len(s), int(group[-1]) + longest)
             for a in range(low, high, 8192):  # long regions in overlapping pieces
                 out += self._region(s, a, min(high, a + 8192 + longest), similarity)
+        return [(i, sim, d, at, n + SHINGLE - 1) for i, sim, d, at, n in out]
+
+    @staticmethod
+    def _best(out: list[tuple]) -> list[tuple]:
         best: dict[int, tuple] = {}
         for m in out:
             if m[0] not in best or (m[1], -m[3]) > (best[m[0]][1], -best[m[0]][3]):
@@ -151,26 +171,27 @@ def slices(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document and item that it contains: id, item, similarity, bits apart, first word, words."""
     spark = docs.sparkSession
-    schema = T.StructType([
-        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("similarity", T.DoubleType()),
-        T.StructField("hamming", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
+    hits = T.ArrayType(T.StructType([
+        T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("hamming", T.IntegerType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]))
     out = None
     for items in slices(benchmark, item_col, text_col):
-        shipped = spark.sparkContext.broadcast(items)
-
-        def run(parts: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                rows = []
-                for i, t in zip(p["_id"], p["_text"], strict=True):
-                    s, _ = text_shingles(t)
-                    rows += [(i, item, sim, d, at, n + 4) for item, sim, d, at, n in (shipped.value.match(s, similarity) if len(s) else [])]
-                yield pd.DataFrame(rows, columns=schema.names)
-
-        found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+        match = _matches(spark.sparkContext.broadcast(items), similarity, hits)
+        # ids stay outside of Python
+        found = docs.select(F.col(id_col), F.explode(match(F.col(text_col))).alias("_m")).select(F.col(id_col), "_m.*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _matches(shipped, similarity: float, hits: T.ArrayType):
+    names = hits.elementType.names
+
+    @F.pandas_udf(hits)
+    def match(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(names, m, strict=True)) for m in shipped.value.match(text_words(t), similarity)] for t in texts], dtype=object)
+
+    return match
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """`docs` without the documents that contain an item; a filter, without any shuffle."""
     for items in slices(benchmark, item_col, "text"):
@@ -181,6 +202,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 def _dirty(shipped, similarity: float):
     @F.pandas_udf("boolean")
     def dirty(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(len(s := text_shingles(t)[0]) and shipped.value.match(s, similarity)) for t in texts], dtype=bool)
+        return pd.Series([bool(shipped.value.match(text_words(t), similarity)) for t in texts], dtype=bool)
 
     return dirty
