@@ -4,7 +4,7 @@ A text is parsed into dictionary phrases (each the shortest string that isn't in
 added to it); the set of phrases is hashed, and per slot the least hash makes a signature. The share of equal
 slots estimates the overlap of two phrase sets, which follows how well one text compresses given the other.
 
-Defined results: a null text counts as empty; the empty text has no phrases and its own fingerprint, alike only
+Defined results: ids are integers, others are refused; a null text counts as empty; the empty text has no phrases and its own fingerprint, alike only
 to itself; equal texts have equal fingerprints; rows with one id are ordered by text; a null id comes first; an
 empty table gives an empty result; other columns are ignored. The last row's next row is the first one.
 """
@@ -92,6 +92,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     next one (the last range: of the first), so that a row's successor is always at hand and no task sees all rows.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} isn't an integer")
     least = -(1 << 63)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_id"), F.col(id_col).isNull().alias("_null"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     ids = d.select("_id")

@@ -79,9 +79,14 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every column of each document as often as it is taken, with copy from 1."""
-    names = tuple(docs.columns)
+    """The mix itself: every column of each document as often as it is taken, with copy from 1.
+
+    A column of the input that is called copy becomes copy_before (with as many _ as make the name new).
+    """
+    names, before = docs.columns, "copy_before"
     if "copy" in names:
-        docs, names = docs.withColumnRenamed("copy", "copy_before"), tuple("copy_before" if c == "copy" else c for c in names)
-    taken = copies(docs, keep=names, **options).filter(F.col("_copies") > 0)
+        while before in names:
+            before += "_"
+        docs = docs.withColumnRenamed("copy", before)
+    taken = copies(docs, keep=tuple(docs.columns), **options).filter(F.col("_copies") > 0)
     return taken.select("_kept", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_c")).select("_kept.*", F.col("_c").alias("copy"))

@@ -4,7 +4,7 @@ Numbers and dates that pass their format's validation are permuted within the fo
 network, so a value has the same pseudonym in every document, and different values have different ones:
 
 - payment cards: 13 to 19 digits, or groups of 4-4-4-4 or 4-6-5, with a right check digit; the digits before it are permuted, it is made anew
-- telephone numbers: the last ten digits (or all, if fewer); a country code in front and all punctuation stay
+- telephone numbers: all digits but a country code in front; it and all punctuation stay
 - IPv4 addresses: as two halves of 16 bits
 - social security numbers: within valid areas (001 to 899 but 666), groups 01 to 99, serials 0001 to 9999
 - dates from 1900 to 2099 as 2024-05-31, 31.05.2024 or 31/05/2024 (05/31/2024 where only that is a date)
@@ -87,9 +87,13 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """The country code stays: the digits up to the first sign that is none; of a number without such signs, 1 digit
+    after 1 or 7 (the zones of one digit), else 2. All other digits are permuted, however many there are."""
     d = _digits(m)
-    kept = F.greatest(F.length(d) - 10, F.lit(0))
-    return _into(m, F.concat(F.substring(d, F.lit(1), kept), permute_digits(F.substring(d, kept + 1, F.lit(10)), key, "phone")))
+    code = F.length(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1))
+    bare = F.when(F.substring(d, 1, 1).isin("1", "7"), 1).otherwise(2)
+    kept = F.when(~m.startswith("+"), 0).when(code > 0, code).otherwise(bare)
+    return _into(m, F.concat(F.substring(d, F.lit(1), kept), permute_digits(F.substring(d, kept + 1, F.length(d)), key, "phone")))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -147,12 +151,14 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     # a text without digits or @ has no match
     worth = text.rlike("[0-9@]")
     found = F.when(worth, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_found", found)
-    out = out.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
+    names = set(docs.columns) | {count_col}
+    old, fresh = (next(n for n in (c + "_" * k for k in range(len(names) + 1)) if n not in names) for c in ("_found", "_new"))
+    out = docs.withColumn(old, found)
+    out = out.withColumn(fresh, F.transform(old, lambda m: pseudonym(m, key)))
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.concat(F.col("_new"), F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
-    changed = F.when(F.size("_found") > 0, joined).otherwise(text)
+    joined = F.array_join(F.zip_with(gaps, F.concat(F.col(fresh), F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
+    changed = F.when(F.size(old) > 0, joined).otherwise(text)
     if count_col:
-        n = F.size(F.filter(F.arrays_zip(F.col("_found").alias("a"), F.col("_new").alias("b")), lambda z: z["a"] != z["b"]))
+        n = F.size(F.filter(F.arrays_zip(F.col(old).alias("a"), F.col(fresh).alias("b")), lambda z: z["a"] != z["b"]))
         out = out.withColumn(count_col, F.coalesce(n, F.lit(0)).cast("long"))
-    return out.withColumn(text_col, changed).drop("_found", "_new")
+    return out.withColumn(text_col, changed).drop(old, fresh)
