@@ -17,7 +17,7 @@ benchmark takes more passes.
 An item of fewer than five words has no shingle: it is found where its words stand in a row, with similarity 1.
 
 Defined results: null and empty texts match nothing, nor do empty items; repeated rows get the same result, and
-repeated items count once each; an empty table gives an empty result; other columns are ignored (kept by
+repeated items count once each; a null item id is an id of its own; an empty table gives an empty result; other columns are ignored (kept by
 `clean`).
 """
 
@@ -123,7 +123,7 @@ class Items:
         for m in out:
             if m[0] not in best or (m[1], -m[3]) > (best[m[0]][1], -best[m[0]][3]):
                 best[m[0]] = m
-        return [best[k] for k in sorted(best)]
+        return [best[k] for k in sorted(best, key=lambda i: (i is None, i if i is not None else 0))]
 
     def _region(self, s: np.ndarray, low: int, high: int, similarity: float) -> list[tuple]:
         part = s[low:high]
