@@ -1,5 +1,7 @@
 """Exact boundaries of the stateful logic, without Spark."""
 
+import random
+
 import pytest
 
 from tidewatch.sinks import merge
@@ -76,38 +78,53 @@ def clicks(n, ms=0, duration=1000, start=0):
 
 def test_rule_c_thresholds():
     core = RuleCCore()
-    assert not core.look(clicks(50), 0).alert
-    hit = core.look(clicks(51), 0)
+    assert core.answer(0, {}, clicks(51, -M)) is None
+    assert not core.answer(0, clicks(50), {}).alert
+    hit = core.answer(0, clicks(60), {})
     assert hit.alert and hit.click_count == 51 and hit.end == 50
-    assert not core.look(clicks(51, duration=2000), 0).alert
-    assert core.look(clicks(51, duration=1999), 0).alert
+    assert not core.answer(0, clicks(51, duration=2000), {}).alert
+    assert core.answer(0, clicks(51, duration=1999), {}).alert
 
 
 def test_rule_c_excludes_clicks_a_look_back_old():
     core = RuleCCore()
-    old = {"x": (0, "x", 1000)}
     new = {f"e{i}": (M, f"a{i}", 1000) for i in range(50)}
-    assert not core.look({**old, **new}, M).alert
-    assert core.look({"x": (1, "x", 1000), **new}, M).alert
+    assert not core.answer(M, new, {"x": (0, "x", 1000)}).alert
+    assert core.answer(M, new, {"x": (1, "x", 1000)}).alert
 
 
 def test_rule_c_same_millisecond_counts_together():
-    assert RuleCCore().look({f"e{i}": (5, f"a{i}", 1) for i in range(51)}, 0).click_count == 51
+    assert RuleCCore().answer(0, {f"e{i}": (5, f"a{i}", 1) for i in range(51)}, {}).click_count == 51
+
+
+def test_rule_c_against_every_look_back():
+    r = random.Random(3)
+    core = RuleCCore(100, 3, 40)
+    for _ in range(300):
+        every = {f"e{i}": (r.randrange(0, 200), f"a{r.randrange(8)}", r.randrange(80)) for i in range(r.randrange(1, 40))}
+        own, before = ({k: c for k, c in every.items() if c[0] // 100 == m} for m in (1, 0))
+        want = None
+        for end in sorted({c[0] for c in own.values()}):
+            seen = [c for c in every.values() if end - 100 < c[0] <= end]
+            alert = len({c[1] for c in seen}) > 3 and sum(c[2] for c in seen) < 40 * len(seen)
+            want = (end, len(seen), sum(c[2] for c in seen), tuple(sorted({c[1] for c in seen})), alert)
+            if alert:
+                break
+        got = core.answer(100, own, before)
+        assert (got and (got.end, got.click_count, got.duration_sum, got.article_ids, got.alert)) == want
 
 
 def test_rule_c_retracts_and_revisions_grow():
-    core = RuleCCore()
-    c = clicks(51)
-    a = core.look(c, 0)
-    assert core.revise(None, a) and a.revision == 1
+    core, c = RuleCCore(), clicks(51)
+    a, sent = core.follow(None, core.answer(0, c, {}))
+    assert sent and a.revision == 1
+    assert core.follow(a, core.answer(0, c, {})) == (a, False)
     c["slow"] = (10, "a0000", 10**6)
-    b = core.look(c, 0)
-    assert not b.alert and core.revise(a, b) and b.revision == 2
-    c.update(clicks(520, 100, 1, start=1000))
-    d = core.look(c, 0)
-    assert core.revise(b, d) == d.alert
-    again = core.look(c, 0)
-    assert not core.revise(d, again) and again.revision == d.revision
+    b, sent = core.follow(a, core.answer(0, c, {}))
+    assert sent and not b.alert and b.revision == 2
+    c["more"] = (20, "a0001", 10**6)
+    d, sent = core.follow(b, core.answer(0, c, {}))
+    assert not sent and d.revision == 2
 
 
 def test_rule_c_lateness_boundaries():

@@ -1,6 +1,7 @@
 """Streaming end to end over JSON lines: join, fan-out, rules, replay and restart from the checkpoint."""
 
 import json
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tidewatch.operators import dedup, enrich, rules
 from tidewatch.sinks.store import SqliteStore
 from tidewatch.sources import generator, readers
 from tidewatch.streaming import pipeline
-from tidewatch.streaming.cores import RuleCCore
+from tidewatch.streaming.job import Job
 
 
 @pytest.fixture(scope="module")
@@ -25,53 +26,60 @@ def data(tmp_path_factory):
     return root, arts, behaviors, half
 
 
-def clean_stream(spark, path, kind):
-    return validation.clean(validation.validate(readers.stream_lines(spark, str(path)), kind))
-
-
-def expected(spark, root, n_files=2):
+def expected(spark, root):
     read = lambda kind, sub: validation.clean(validation.validate(readers.read_lines(spark, str(root / sub)), kind))
     return enrich.enrich(dedup.first_by(read("behavior", "behaviors"), ["event_id"], ["sequence"]), enrich.latest_articles(read("article", "articles")))
 
 
-def run_join(spark, root, out, store):
-    df = pipeline.joined_stream(clean_stream(spark, root / "articles", "article"), clean_stream(spark, root / "behaviors", "behavior"), salts=2)
-    q = pipeline.start(df, pipeline.fan_out(store, f"{out}/clean"), f"{out}/state", "append", every="0 seconds")
-    pipeline.drain(q, 90)
+@pytest.fixture
+def few_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def job(spark, root, out, store, **options):
+    return Job(spark, readers.stream_lines(spark, str(root / "articles")), readers.stream_lines(spark, str(root / "behaviors")), store, str(out), salts=2, **options)
 
 
-def test_join_restart_and_rules(spark, data, tmp_path):
+def test_unified_job_restart_and_rules(spark, data, tmp_path, few_partitions):
     root, _, behaviors, half = data
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    try:
-        store = SqliteStore(str(tmp_path / "r.db"))
-        run_join(spark, root, str(tmp_path), store)
-        first = len(store.rows("clean_behavior"))
-        assert first > 0
-        generator.write(behaviors[half:], root / "behaviors" / "1.jsonl")
-        run_join(spark, root, str(tmp_path), store)  # continues from the checkpoint: article state is still there
-        want = expected(spark, root).cache()
-        assert {r["event_id"] for r in store.rows("clean_behavior")} == {r["event_id"] for r in want.select("event_id").collect()}
-        schema = spark.read.parquet(f"{tmp_path}/clean").drop("batch").schema
-        clean = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/clean/batch=*")
-        pipeline.start(pipeline.stream_rule_a(clean()), pipeline.sink_a(store, 30), f"{tmp_path}/a", once=True).awaitTermination()
-        got = {(r["window_start_ms"], r["article_id"], r["click_count"]) for r in store.rows("article_alert")}
-        assert got == {(r["window_start_ms"], r["article_id"], r["click_count"]) for r in rules.rule_a(want, threshold=30).collect()} != set()
-        pipeline.start(pipeline.stream_rule_b(clean()), pipeline.sink_b(store), f"{tmp_path}/b", once=True).awaitTermination()
-        got = {(r["window_start_ms"], r["rank_no"], r["category"], r["score"], r["revision"]) for r in store.rows("category_rank")}
-        assert got == {(r["window_start_ms"], r["rank_no"], r["category"], r["score"], r["revision"]) for r in rules.rule_b(want).collect()}
-        assert store.snapshot(pipeline.SNAPSHOT_KEY)[0]["window_start_ms"] == max(w for w, *_ in got)
-        pipeline.start(pipeline.stream_rule_c(clean(), RuleCCore()), pipeline.sink_c(store), f"{tmp_path}/c", once=True).awaitTermination()
-        got = {(r["alert_minute_ms"], r["ip"], r["article_count"], r["click_count"]) for r in store.rows("ip_alert") if not r["retracted"]}
-        assert got == {(r["alert_minute_ms"], r["ip"], r["article_count"], r["click_count"]) for r in rules.rule_c(want).collect()} != set()
-        assert all(isinstance(json.loads(r["article_ids"]), list) for r in store.rows("ip_alert"))
-        # replay of the whole clean table under a new checkpoint changes nothing
-        before = store.rows("article_alert")
-        pipeline.start(pipeline.stream_rule_a(clean()), pipeline.sink_a(store, 30), f"{tmp_path}/a2", once=True).awaitTermination()
-        strip = lambda rows: [{k: v for k, v in r.items() if k != "detect_time"} for r in rows]
-        assert strip(store.rows("article_alert")) == strip(before)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    store = SqliteStore(str(tmp_path / "r.db"))
+    job(spark, root, tmp_path, store, threshold=30).run_all()
+    first = len(store.rows("clean_behavior"))
+    assert first > 0
+    generator.write(behaviors[half:], root / "behaviors" / "1.jsonl")
+    job(spark, root, tmp_path, store, threshold=30).run_all()  # goes on from the checkpoints: article state is still there
+    want = expected(spark, root).cache()
+    assert {r["event_id"] for r in store.rows("clean_behavior")} == {r["event_id"] for r in want.select("event_id").collect()} and len(store.rows("clean_behavior")) > first
+    got = {(r["window_start_ms"], r["article_id"], r["click_count"]) for r in store.rows("article_alert")}
+    assert got == {(r["window_start_ms"], r["article_id"], r["click_count"]) for r in rules.rule_a(want, threshold=30).collect()} != set()
+    got = {(r["window_start_ms"], r["rank_no"], r["category"], r["score"], r["revision"]) for r in store.rows("category_rank")}
+    assert got == {(r["window_start_ms"], r["rank_no"], r["category"], r["score"], r["revision"]) for r in rules.rule_b(want).collect()}
+    assert store.snapshot(pipeline.SNAPSHOT_KEY)[0]["window_start_ms"] == max(w for w, *_ in got)
+    got = {(r["alert_minute_ms"], r["ip"], r["article_count"], r["click_count"]) for r in store.rows("ip_alert") if not r["retracted"]}
+    assert got == {(r["alert_minute_ms"], r["ip"], r["article_count"], r["click_count"]) for r in rules.rule_c(want).collect()} != set()
+    assert all(isinstance(json.loads(r["article_ids"]), list) for r in store.rows("ip_alert"))
+    assert {r["source_stream"] for r in store.rows("dirty_data")} == {"behavior"}
+
+
+def test_lateness_is_reported_by_running_queries(spark, tmp_path, few_partitions):
+    """Arrivals by script: events of +5 h, then one of +1 h. The join reports and joins it, A and B report it, C drops and reports it."""
+    t0 = datetime(2026, 9, 27, tzinfo=UTC)
+    for sub in ("articles", "behaviors"):
+        (tmp_path / sub).mkdir()
+    store = SqliteStore(str(tmp_path / "r.db"))
+    at = lambda h: t0 + timedelta(hours=h)
+    generator.write([generator.article(1, at(5), "science")], tmp_path / "articles" / "0.jsonl")
+    generator.write([generator.behavior("e1", "article-000001", at(5), "click", "1.1.1.1", "u", 10)], tmp_path / "behaviors" / "0.jsonl")
+    job(spark, tmp_path, tmp_path / "out", store).run_all()
+    assert not store.rows("late_data")
+    generator.write([generator.behavior("e2", "article-000001", at(1), "click", "1.1.1.1", "u", 10), generator.behavior("e1", "article-000001", at(1), "click", "1.1.1.1", "u", 10)], tmp_path / "behaviors" / "1.jsonl")
+    job(spark, tmp_path, tmp_path / "out", store).run_all()
+    assert {r["event_id"] for r in store.rows("clean_behavior")} == {"e1", "e2"}
+    wm = int((at(5) - timedelta(seconds=30)).timestamp() * 1000)
+    assert [(r["event_id"], r["watermark_ms"], r["source_stream"]) for r in store.rows("late_data")] == [("e2", wm, "behavior")]
+    assert sorted((r["event_type"], r["event_id"]) for r in store.rows("pipeline_event")) == [(f"ROLE_{x}_LATE", "e2") for x in "ABC"]
 
 
 def test_dirty_stream(spark, data, tmp_path):

@@ -48,9 +48,9 @@ def validate(raw: DataFrame, stream: str, value: str = "value") -> DataFrame:
     article = stream == "article"
     names = ARTICLE_STRINGS if article else BEHAVIOR_STRINGS
     text = F.col(value)
-    # the parser accepts text behind the object, so the end is looked at too
-    v = F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), F.try_parse_json(text))
-    df = raw.withColumn("_v", v)
+    # the parser accepts text behind a value, so the record is put into an object whose end is known by a digest
+    df = raw.withColumn("_end", F.md5(text)).withColumn("_whole", F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit(',"'), F.col("_end"), F.lit('":1}'))), "$", "map<string,variant>"))
+    df = df.withColumn("_v", F.when(text.rlike(r"^\s*\{") & (F.size("_whole") == 2) & F.map_contains_key("_whole", F.col("_end")), F.element_at("_whole", F.lit("r"))))
     f = {n: _string(F.col("_v"), n) for n in names}
     df = df.withColumns({f"_{n}": c for n, c in f.items()})
     df = df.withColumns({

@@ -19,6 +19,11 @@ def ranked_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def dedup_stream(df: DataFrame, key: str = "event_id") -> DataFrame:
-    """Streaming form: needs a watermark, whose delay bounds the state."""
-    return df.dropDuplicatesWithinWatermark([key])
+def dedup_stream(df: DataFrame, keys: list[str], keep_for: str = "24 hours") -> DataFrame:
+    """First wins for `keep_for` after it arrived, by the engine's clock and not by event time, so late rows aren't lost.
+
+    The arrival time is the batch's, which a replayed batch keeps. A query that needs an event-time watermark reads
+    what this one wrote: a watermark on arrival would hold its own back.
+    """
+    d = df.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", keep_for)
+    return d.dropDuplicatesWithinWatermark(keys).drop("_arrival")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import validation
 from tidewatch.functions.scalar import event_millis, floor_to, millis_iso, salt, uuid3
 from tidewatch.operators import audit, dedup, enrich, rules
 from tidewatch.sinks import merge
@@ -54,6 +55,30 @@ def etl_dirty_reasons(spark, d):
     return audit.status_rollup(bad.withColumnRenamed("action", "reason"), "reason")
 
 
+RAW = """SELECT event_id, CASE event_id % 13 WHEN 0 THEN concat(j, '{}') WHEN 1 THEN concat(j, ' garbage }') WHEN 2 THEN replace(j, '"ip":"', '"xx":"') WHEN 3 THEN replace(j, '"user_id":"', '"user_id":"  ","was":"')
+ WHEN 4 THEN replace(j, 'T00:00:00Z', 'T03:00:00.001Z') WHEN 5 THEN replace(j, '"read_duration_ms":', '"read_duration_ms":-') WHEN 6 THEN replace(j, '"read_duration_ms":', '"read_duration_ms":1.') WHEN 7 THEN replace(j, '"article_id":"', '"article_id":7,"was":"')
+ WHEN 8 THEN concat('[', j, ']') WHEN 9 THEN substr(j, 1, length(j) - 1) ELSE j END AS value
+ FROM (SELECT event_id, concat('{"event_id":"e', CAST(event_id AS STRING), '","article_id":"a', CAST(user_id % 50 AS STRING), '","event_time":"', CAST(CAST(ts AS DATE) AS STRING), 'T00:00:00Z","ingest_time":"', CAST(CAST(ts AS DATE) AS STRING), 'T01:00:00Z","user_id":"u', CAST(user_id AS STRING),
+ '","action":"', CASE event_type WHEN 'view' THEN 'share' WHEN 'purchase' THEN 'comment' ELSE event_type END, '","ip":"10.0.0.1","read_duration_ms":', CAST(event_id % 1000 + 1 AS STRING), '}') AS j FROM events) t"""
+
+
+def _needed(names: tuple[str, ...]) -> str:
+    return " ".join(f"WHEN coalesce(json_type(value, '$.{n}'), '') <> 'VARCHAR' OR trim(json_extract_string(value, '$.{n}')) = '' THEN '{validation.MISSING}{n}'" for n in names)
+
+
+@query("etl_validate", f"""SELECT event_id, CASE WHEN NOT json_valid(value) THEN '{validation.NO_JSON}' WHEN json_type(value) <> 'OBJECT' THEN '{validation.NO_JSON}' {_needed(validation.BEHAVIOR_STRINGS[:4])}
+ WHEN json_extract_string(value, '$.event_time')::TIMESTAMPTZ > json_extract_string(value, '$.ingest_time')::TIMESTAMPTZ + INTERVAL 2 HOUR THEN '{validation.AHEAD}' {_needed(validation.BEHAVIOR_STRINGS[4:])}
+ WHEN json_extract_string(value, '$.action') NOT IN ('click', 'share', 'comment') THEN '{validation.BAD_ACTION}'
+ WHEN coalesce(json_type(value, '$.read_duration_ms'), '') NOT IN ('UBIGINT', 'BIGINT') OR json_extract_string(value, '$.read_duration_ms')::DOUBLE NOT BETWEEN 0 AND {validation.MAX_READ_MS} THEN '{validation.BAD_INTEGER}read_duration_ms' END AS error_message FROM ({RAW})""")
+def etl_validate(spark, d):
+    """The validator over JSON text made of all events, with every kind of fault planted by event id."""
+    readers.table(spark, d, "events").createOrReplaceTempView("_events_as_json")
+    raw = spark.sql(RAW.replace("FROM events)", "FROM _events_as_json)"))
+    # the record's own event_id is a column of the result too, so the table's goes by another name
+    v = validation.validate(raw.withColumnRenamed("event_id", "source_id"), "behavior")
+    return v.select(F.col("source_id").alias("event_id"), "error_message")
+
+
 @query("dirty_record_id", """SELECT event_id, 'raw-' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' ||
  substr('89ab', 1 + (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS record_id
  FROM (SELECT event_id, md5(props) AS h FROM events WHERE event_type IN ('signup', 'error'))""")

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators import dedup
 from tidewatch.plans import reference_queries as batch
 from tidewatch.session import ROCKSDB, checkpoint_root
 from tidewatch.sinks.store import SqliteStore
@@ -80,11 +81,10 @@ def stream_rule_c(spark, d):
 
 @query("stream_dedup", f"SELECT count(*) AS n FROM ({batch.CLEAN})")
 def stream_dedup(spark, d):
-    """Each event is sent twice; the watermark-bound dedup keeps one."""
-    s = _stream(spark, d).withColumn("event_ts", F.timestamp_millis("event_ms"))
-    twice = s.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).withWatermark("event_ts", "30 seconds")
+    """Each event is sent twice; the one that arrives first is kept."""
+    twice = _stream(spark, d).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
     seen: dict[int, int] = {}
-    _run(spark, twice.dropDuplicatesWithinWatermark(["event_id"]), lambda b, i: seen.update({i: b.count()}), "append")
+    _run(spark, dedup.dedup_stream(twice, ["event_id"]), lambda b, i: seen.update({i: b.count()}), "append")
     return spark.createDataFrame([(sum(seen.values()),)], "n long")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter, deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+
+import numpy as np
 
 MINUTE_MS = 60_000
 LATENESS_MS = 65 * MINUTE_MS
@@ -87,23 +88,24 @@ class JoinCore:
         return out
 
 
-@dataclass
+@dataclass(frozen=True)
 class Snapshot:
     """What one address had read at the end of a bucket's look-back."""
 
     end: int
     click_count: int
     duration_sum: int | float
-    article_ids: list
+    article_ids: tuple
     alert: bool
     revision: int = 0
 
-    def same(self, other: Snapshot) -> bool:
-        return (self.end, self.click_count, self.duration_sum, self.alert, self.article_ids) == (other.end, other.click_count, other.duration_sum, other.alert, other.article_ids)
-
 
 class RuleCCore:
-    """Look-back per address with revisions and retractions. clicks: event_id -> (event_ms, article, duration)."""
+    """Look-back per address with revisions and retractions.
+
+    A minute's clicks are a dict event_id -> (event_ms, article, duration). A bucket is one minute; its answer depends
+    on its own clicks and on those of the minute before.
+    """
 
     def __init__(self, look_back_ms: int = MINUTE_MS, min_articles: int = 50, max_avg_ms: int = 2000, lateness_ms: int = LATENESS_MS):
         self.bucket_ms, self.min_articles, self.max_avg_ms, self.lateness_ms = look_back_ms, min_articles, max_avg_ms, lateness_ms
@@ -125,43 +127,38 @@ class RuleCCore:
         m = self.bucket(event_ms)
         return [t for t in (m, m + self.bucket_ms) if wm < self.cleanup_at(t)]
 
-    def look(self, clicks: dict, bucket: int) -> Snapshot | None:
-        """The earliest alert in the bucket, else the state at its last click; None without a click in it."""
-        near = sorted((t, e, a, d) for e, (t, a, d) in clicks.items() if bucket - self.bucket_ms < t < bucket + self.bucket_ms)
-        recent: deque = deque()
-        articles: Counter = Counter()
-        total, found, i = 0, None, 0
-        while i < len(near):
-            end = near[i][0]
-            while recent and recent[0][0] <= end - self.bucket_ms:
-                _, a, d = recent.popleft()
-                total -= d
-                articles[a] -= 1
-                if not articles[a]:
-                    del articles[a]
-            while i < len(near) and near[i][0] == end:
-                t, _, a, d = near[i]
-                recent.append((t, a, d))
-                articles[a] += 1
-                total += d
-                i += 1
-            if end < bucket:
-                continue
-            alert = len(articles) > self.min_articles and total < self.max_avg_ms * len(recent)
-            found = Snapshot(end, len(recent), total, sorted(articles), alert)
-            if alert:
-                break
-        return found
-
-    def revise(self, previous: Snapshot | None, current: Snapshot) -> bool:
-        """Set the revision of `current`; true if it is to be sent on (an alert, or the end of one)."""
-        current.revision = previous.revision if previous else 0
-        if previous and previous.same(current):
-            return False
-        was = bool(previous and previous.alert)
-        if current.alert or was:
-            current.revision += 1
-        return current.alert or was
-
-    def expired_clicks(self, clicks: dict, fired_ms: int) -> list[str]:
-        return [e for e, (t, _, _) in clicks.items() if fired_ms >= self.bucket(t) + 2 * self.bucket_ms + self.lateness_ms]
+    def answer(self, bucket: int, own: dict, before: dict) -> Snapshot | None:
+        """The state at the bucket's first click whose look-back raises the alert, else at its last; None without a click in it.
+
+        Columns are sorted once. Counts and sums of every look-back are differences of positions and of running totals;
+        only where these leave an alert possible are distinct articles counted: those whose previous click (of the same
+        article) lies before the look-back.
+        """
+        if not own:
+            return None
+        ms, article, duration = (np.array(c) for c in zip(*sorted([*before.values(), *own.values()], key=lambda c: c[0]), strict=True))
+        running = np.concatenate(([0], np.cumsum(duration)))
+        _, name = np.unique(article, return_inverse=True)
+        by_name = np.argsort(name, kind="stable")
+        previous = np.full(len(ms), -1)
+        repeat = name[by_name[1:]] == name[by_name[:-1]]
+        previous[by_name[1:][repeat]] = by_name[:-1][repeat]
+        ends = np.unique(ms[ms >= bucket])
+        low, high = np.searchsorted(ms, ends - self.bucket_ms, "right"), np.searchsorted(ms, ends, "right")
+        hot = (high - low > self.min_articles) & (running[high] - running[low] < self.max_avg_ms * (high - low))
+        first = next((k for k in np.flatnonzero(hot).tolist() if np.count_nonzero(previous[low[k] : high[k]] < low[k]) > self.min_articles), None)
+        k = len(ends) - 1 if first is None else first
+        within = slice(low[k], high[k])
+        return Snapshot(int(ends[k]), int(high[k] - low[k]), duration[within].sum().item(), tuple(np.unique(article[within]).tolist()), first is not None)
+
+    @staticmethod
+    def follow(previous: Snapshot | None, current: Snapshot) -> tuple[Snapshot, bool]:
+        """`current` with its revision, and whether it is sent on: a new or changed alert, or the end of one."""
+        revision = previous.revision if previous else 0
+        current = replace(current, revision=revision)
+        send = current != previous and (current.alert or previous is not None and previous.alert)
+        return (replace(current, revision=revision + 1) if send else current), send
+
+    def last_use(self, minute: int) -> int:
+        """The watermark from which no bucket needs the minute's clicks."""
+        return self.cleanup_at(minute + self.bucket_ms)

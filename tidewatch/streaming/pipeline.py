@@ -30,13 +30,17 @@ def _payload(df: DataFrame) -> Column:
     return F.to_json(F.struct(*[c for c in df.columns if c not in ("value", "event_ts", "sequence")]))
 
 
-def joined_stream(articles: DataFrame, behaviors: DataFrame, core: JoinCore | None = None, salts: int = 8) -> DataFrame:
-    """Tagged rows of the stateful join. Inputs: validated, clean frames with event_ts; behaviours are deduplicated here."""
-    a = articles.withWatermark("event_ts", WATERMARK)
-    b = behaviors.withWatermark("event_ts", "24 hours").dropDuplicatesWithinWatermark(["event_id"]) if behaviors.isStreaming else behaviors
+def joined_stream(articles: DataFrame, behaviors: DataFrame, core: JoinCore | None = None, salts: int = 8, idle: bool = False) -> DataFrame:
+    """Tagged rows of the stateful join. Inputs: validated, clean frames with event_ts, behaviours deduplicated (`dedup_stream`).
+
+    The watermark is the lesser one of the two sides. With `idle`, one of both together, so that a side that sends
+    nothing doesn't hold the other's lateness back.
+    """
+    a, b = articles, behaviors
     a = a.select("article_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit("article").alias("side"), _payload(a).alias("payload"), "event_ts")
     b = b.select("article_id", salt_of(F.col("event_id"), salts).alias("salt"), F.lit("behavior").alias("side"), _payload(b).alias("payload"), "event_ts")
-    return a.unionByName(b).groupBy("article_id", "salt").transformWithState(
+    both = a.unionByName(b).withWatermark("event_ts", WATERMARK) if idle else a.withWatermark("event_ts", WATERMARK).unionByName(b.withWatermark("event_ts", WATERMARK))
+    return both.groupBy("article_id", "salt").transformWithState(
         statefulProcessor=JoinProcessor(core or JoinCore()), outputStructType=JOIN_OUT, outputMode="Append", timeMode="ProcessingTime")
 
 
@@ -52,7 +56,7 @@ def fan_out(store: SqliteStore, clean_path: str) -> Callable[[DataFrame, int], N
             joined = batch.filter("kind = 'joined'").select(F.from_json("payload", clean_schema()).alias("r")).select("r.*")
             joined.write.mode("overwrite").parquet(f"{clean_path}/batch={batch_id}")
             write_batch(store, "clean_behavior", joined)
-            store.mark_matched([r[0] for r in joined.select("event_id").toLocalIterator()])
+            store.mark_matched(r[0] for r in joined.select("event_id").toLocalIterator())
             write_batch(store, "unmatched_behavior", batch.filter("kind = 'unmatched'").select("event_id", "article_id", F.get_json_object("payload", "$.event_time").alias("event_time"), "matched", "reason", "payload"), 1)
             write_batch(store, "late_data", batch.filter("kind = 'late'").select(F.col("stream").alias("source_stream"), "event_id", "article_id", F.get_json_object("payload", "$.event_time").alias("event_time"), "watermark_ms", "reason", "payload"), 1)
         finally:
@@ -125,10 +129,26 @@ def sink_c(store: SqliteStore) -> Callable[[DataFrame, int], None]:
     return run
 
 
-def late_sink(store: SqliteStore, rule: str) -> Callable[[DataFrame, int], None]:
-    """Audit of rows whose windows have all been cleaned up; needs event_ms and watermark_ms (the last batch's)."""
-    test = {"A": audit.is_late_a, "B": audit.is_late_b}[rule]
-    return lambda batch, _: write_batch(store, "pipeline_event", audit.audit_rows(batch.filter(test(F.col("event_ms"), F.col("watermark_ms"))), f"ROLE_{rule}_LATE")) and None
+def late_sink(store: SqliteStore, rule: str, delay_ms: int = 30_000) -> Callable[[DataFrame, int], None]:
+    """Audit of rows of rule A or B whose windows have all been cleaned up when they arrive.
+
+    The watermark is that of the batches before: their latest event less the delay. It is kept in the store with the
+    batch's number, so a replayed batch judges its rows by the same one.
+    """
+    test, name = {"A": audit.is_late_a, "B": audit.is_late_b}[rule], f"late:{rule}"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            last = store.progress(name) or {"batch": -1, "watermark": 0, "peak": 0}
+            wm = last["watermark"] if last["batch"] == batch_id else max(0, last["peak"] - delay_ms)
+            late = batch.withColumn("watermark_ms", F.lit(wm).cast("long")).filter(test(F.col("event_ms"), F.col("watermark_ms")))
+            write_batch(store, "pipeline_event", audit.audit_rows(late, f"ROLE_{rule}_LATE"))
+            peak = batch.agg(F.max("event_ms")).first()[0] or 0
+            store.set_progress(name, {"batch": batch_id, "watermark": wm, "peak": max(peak, last["peak"])})
+        finally:
+            batch.unpersist()
+    return run
 
 
 def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", once: bool = False, every: str = "30 seconds", name: str | None = None) -> StreamingQuery:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.streaming.cores import LOOKBACK_EXPIRED, JoinCore, JoinState, RuleCCore, Snapshot
+from tidewatch.streaming.cores import JoinCore, JoinState, RuleCCore, Snapshot
 
 JOIN_OUT = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("stream", T.StringType()), T.StructField("event_id", T.StringType()), T.StructField("article_id", T.StringType()),
@@ -96,63 +97,77 @@ class JoinProcessor(StatefulProcessor):
 
 
 class RuleCProcessor(StatefulProcessor):
-    """Input: ip, event_id, event_ms, article_id, read_duration_ms. Runs in event-time mode; the time to live is checked on reading."""
+    """Input: ip, event_id, event_ms, article_id, read_duration_ms. Runs in event-time mode.
+
+    State is kept per minute, each with the time it was written, so a batch reads the minutes that it touches and those
+    before them, however many clicks an address has. What is older than the time to live reads as absent.
+    """
 
     def __init__(self, core: RuleCCore, ttl_ms: int = 3_600_000):
         self.core, self.ttl_ms = core, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.clicks = handle.getMapState("clicks", NAME, TEXT)
-        self.windows = handle.getMapState("windows", LONG_KEY, TEXT)
-        self.written = handle.getValueState("written", LONG)
+        self.minutes = handle.getMapState("minutes", LONG_KEY, TEXT)
+        self.answers = handle.getMapState("answers", LONG_KEY, TEXT)
+
+    def _get(self, state, key: int, now: int):
+        if not state.containsKey((key,)):
+            return None
+        written, value = json.loads(state.getValue((key,))[0])
+        return None if self.ttl_ms and now - written > self.ttl_ms else value
+
+    def _put(self, state, key: int, now: int, value) -> None:
+        state.updateValue((key,), (json.dumps([now, value]),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now, wm = timerValues.getCurrentProcessingTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        if self.ttl_ms and self.written.exists() and now - self.written.get()[0] > self.ttl_ms:
-            self.clicks.clear()
-            self.windows.clear()
-        clicks = {k[0]: tuple(json.loads(v[0])) for k, v in self.clicks.iterator()} if self.clicks.exists() else {}
-        touched: set[int] = set()
-        late = []
+        core, minutes, touched, late = self.core, {}, set(), []
+
+        def minute(m: int) -> dict:
+            if m not in minutes:
+                minutes[m] = self._get(self.minutes, m, now) or {}
+            return minutes[m]
+
         for r in rows:
-            kind = self.core.lateness(r.event_ms, wm) if wm > 0 else "on_time"
+            kind = core.lateness(r.event_ms, wm) if wm > 0 else "on_time"
             if kind != "on_time":
-                late.append(Row(kind="late", ip=r.ip, alert_minute_ms=None, retracted=None, revision=None, window_start_ms=None, window_end_ms=r.event_ms, article_count=None, click_count=None, read_duration_sum_ms=None, avg_read_duration_ms=None, article_ids=None, event_id=r.event_id, article_id=r.article_id, watermark_ms=wm))
-            if kind == "dropped":
-                continue
-            clicks[r.event_id] = (r.event_ms, r.article_id, r.read_duration_ms)
-            self.clicks.updateValue((r.event_id,), (json.dumps(clicks[r.event_id]),))
-            touched.update(self.core.targets(r.event_ms, wm))
-        self.written.update((now,))
+                late.append(_c_row(kind="late", ip=r.ip, window_end_ms=r.event_ms, event_id=r.event_id, article_id=r.article_id, watermark_ms=wm))
+            if kind != "dropped":
+                minute(core.bucket(r.event_ms))[r.event_id] = [r.event_ms, r.article_id, r.read_duration_ms]
+                touched.update(core.targets(r.event_ms, wm))
+        for m in list(minutes):
+            self._put(self.minutes, m, now, minutes[m])
+            self.handle.registerTimer(core.last_use(m))
         for bucket in sorted(touched):
-            self.handle.registerTimer(self.core.cleanup_at(bucket))
-            current = self.core.look(clicks, bucket)
+            current = core.answer(bucket, minute(bucket), minute(bucket - core.bucket_ms))
             if current is None:
                 continue
-            previous = Snapshot(**json.loads(self.windows.getValue((bucket,))[0])) if self.windows.containsKey((bucket,)) else None
-            send = self.core.revise(previous, current)
-            self.windows.updateValue((bucket,), (json.dumps(current.__dict__),))
+            old = self._get(self.answers, bucket, now)
+            current, send = core.follow(Snapshot(**{**old, "article_ids": tuple(old["article_ids"])}) if old else None, current)
+            self._put(self.answers, bucket, now, asdict(current))
+            self.handle.registerTimer(core.cleanup_at(bucket))
             if send:
                 yield self._alert(key[0], bucket, current)
         yield from late
 
     def _alert(self, ip, bucket: int, s: Snapshot) -> Row:
-        keep = lambda v: v if s.alert else None  # noqa: E731  a retraction only keeps key and revision
-        return Row(
-            kind="alert", ip=ip, alert_minute_ms=bucket, retracted=not s.alert, revision=s.revision, window_start_ms=keep(s.end - self.core.bucket_ms), window_end_ms=keep(s.end), article_count=keep(len(s.article_ids)), click_count=keep(s.click_count),
-            read_duration_sum_ms=keep(float(s.duration_sum)), avg_read_duration_ms=keep(s.duration_sum / s.click_count), article_ids=keep([str(a) for a in s.article_ids]), event_id=None, article_id=None, watermark_ms=None,
-        )
+        if not s.alert:  # a retraction only keeps key and revision
+            return _c_row(kind="alert", ip=ip, alert_minute_ms=bucket, retracted=True, revision=s.revision)
+        return _c_row(
+            kind="alert", ip=ip, alert_minute_ms=bucket, retracted=False, revision=s.revision, window_start_ms=s.end - self.core.bucket_ms, window_end_ms=s.end, article_count=len(s.article_ids), click_count=s.click_count,
+            read_duration_sum_ms=float(s.duration_sum), avg_read_duration_ms=s.duration_sum / s.click_count, article_ids=[str(a) for a in s.article_ids])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        bucket = at - self.core.bucket_ms - self.core.lateness_ms
-        if self.windows.containsKey((bucket,)):
-            self.windows.removeKey((bucket,))
-        clicks = {k[0]: tuple(json.loads(v[0])) for k, v in self.clicks.iterator()} if self.clicks.exists() else {}
-        for e in self.core.expired_clicks(clicks, at):
-            self.clicks.removeKey((e,))
+        bucket = expiredTimerInfo.getExpiryTimeInMs() - self.core.bucket_ms - self.core.lateness_ms
+        for state, k in ((self.answers, bucket), (self.minutes, bucket - self.core.bucket_ms)):
+            if state.containsKey((k,)):
+                state.removeKey((k,))
         return iter(())
 
     def close(self) -> None:
         pass
+
+
+def _c_row(**values) -> Row:
+    return Row(**{n: values.get(n) for n in C_OUT.names})
