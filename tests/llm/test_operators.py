@@ -321,8 +321,10 @@ def test_minhash(spark, hostile, empty):
     assert kept.columns == hostile.columns and minhash_dedup.deduplicate(empty).count() == minhash_dedup.near_duplicates(empty).count() == 0
 
 
-def test_components_on_a_long_chain_and_a_hub(spark, monkeypatch):
+@pytest.mark.parametrize("small", [joins.SMALL, 10])
+def test_components_on_a_long_chain_and_a_hub(spark, monkeypatch, small):
     monkeypatch.setattr(joins, "HUB", 7)
+    monkeypatch.setattr(joins, "SMALL", small)
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (205, 203)] + [(1000 + i, 300) for i in range(50)], "a long, b long")
     got = {r["node"]: r["component"] for r in joins.components(edges, joins.Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 203: 203, 205: 203, 300: 300, **{1000 + i: 300 for i in range(50)}}

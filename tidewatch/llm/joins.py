@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 from contextlib import suppress
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.session import checkpoint_root
 
@@ -46,8 +49,40 @@ class Scratch:
             self.drop()
 
 
+#: links up to which one task joins them (16 bytes each)
+SMALL = 200_000
+COMPONENTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType())])
+
+
+def _join_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of all links of one task, by merging the lesser root."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while up.setdefault(top, top) != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for p in parts:
+        for a, b in zip(p["a"].tolist(), p["b"].tolist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]}).astype("int64")
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
-    """(a, b) links, stored -> (node, component): the least node reachable.
+    """(a, b) links, stored -> (node, component): the least node reachable. Up to SMALL links, counted first, go to one task."""
+    if edges.limit(SMALL + 1).count() <= SMALL:
+        return scratch.store(edges.select("a", "b").coalesce(1).mapInPandas(_join_up, COMPONENTS))
+    return spread_components(edges, scratch, most_rounds)
+
+
+def spread_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+    """The same for any number of links.
 
     Labels fall to the least label among neighbours, then to the label of that label, so long chains halve with
     each round. Every round is stored; Catalyst broadcasts a round's table while its files are small. Beyond that,

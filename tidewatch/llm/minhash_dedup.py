@@ -209,6 +209,7 @@ def _references(held: DataFrame, scratch: Scratch) -> DataFrame:
     """(_node, _ref): the node that leads most of its lists. A list's leader has the longest lists in sum, so the cloud's origin leads."""
     scored = held.select("_node", F.aggregate("_held", F.lit(0).cast("long"), lambda s, o: s + o["_entries"]).alias("_score"), F.explode("_held._key").alias("_key"))
     leads = scored.groupBy("_key").agg(F.max(F.struct("_score", (-F.col("_node")).alias("_less"))).alias("m")).select("_key", (-F.col("m._less")).alias("_lead"))
+    leads = scratch.store(leads)  # small beside the lists, and known to be
     ref = scored.join(leads, "_key").groupBy("_node", "_lead").count().groupBy("_node").agg(F.max_by("_lead", F.struct("count", -F.col("_lead"))).alias("_ref"))
     ref = scratch.store(ref)
     for _ in range(2):  # a reference's own reference leads both
@@ -221,6 +222,7 @@ def _rarest(nodes: DataFrame, features: str, group: str, columns: list[str], scr
     """`columns` of each node, with `_rare`: its features that nodes of another group hold, rarest first."""
     f = nodes.select("_node", group, F.explode(features).alias("_f"))
     shared = f.groupBy("_f").agg(F.count(F.lit(1)).alias("_c"), F.min(group).alias("_lo"), F.max(group).alias("_hi")).filter("_lo <> _hi").select("_f", "_c")
+    shared = scratch.store(shared)
     # a node's features: at most the shingles of it and of its reference
     rare = f.select("_node", "_f").join(shared, "_f").groupBy("_node").agg(F.sort_array(F.collect_list(F.struct("_c", "_f"))).alias("_rare"))
     return scratch.store(nodes.select(*columns).join(rare, "_node"))
@@ -253,8 +255,9 @@ def _skipped(texts: DataFrame, reps: DataFrame, links: DataFrame | None, label:
     ref = _references(held, scratch)
     sets = _sets(texts, reps, ref.select("_node"), scratch)
     # a reference with many nodes is dealt over several tasks
-    parts = ref.groupBy("_ref").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_parts"))
+    parts = scratch.store(ref.groupBy("_ref").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("_parts")))
     mine = ref.join(parts, "_ref").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int")).select("_node", "_ref", "_part")
+    mine = scratch.store(mine)
     of = sets.join(parts.withColumnRenamed("_ref", "_node"), "_node").select(F.col("_node").alias("_ref"), F.col("_set").alias("_base"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     x = sets.join(mine, "_node").join(of, ["_ref", "_part"])
     x = x.select("_node", "_ref", "_set", F.size("_set").alias("_n"), F.size("_base").alias("_h"), F.array_except("_base", "_set").alias("_m"), F.array_except("_set", "_base").alias("_d"))
