@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import decontaminate, minhash_dedup, mixing, pii, toxicity
-from tidewatch.session import checkpoint_root
+from tidewatch.llm.joins import Scratch
 
 PII_KEY = "tidewatch-demo-key"
 
@@ -43,13 +41,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is written to the shared folder and read again."""
-    root = f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{root}/{i}-{name}")
-        docs = spark.read.parquet(f"{root}/{i}-{name}")
-    return docs
+    """All stages over `documents`; what a stage returns is written to the shared folder and read again.
+
+    A stage's folder is deleted once the next one is written; the last one read, when the process ends.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        folder = Scratch(spark)
+        docs = folder.store(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        before = folder
+    return STAGES[-1][1](spark, docs, sf_dir)
