@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import validation
 from tidewatch.functions.scalar import iso_millis, uuid3
-from tidewatch.operators import audit, dedup, enrich, rules
-from tidewatch.sources import generator, readers
+from tidewatch.operators import audit, dedup, enrich, rules, schedule
+from tidewatch.sources import generator, readers, scripted
 
 T0 = datetime(2026, 9, 27, tzinfo=UTC)
 MS0 = int(T0.timestamp() * 1000)
@@ -178,3 +178,60 @@ def test_generator_lines_and_sources(spark, tmp_path):
     v = validation.validate(lines, "behavior")
     assert validation.dirty(v, "behavior").count() == sum(b["event_id"].startswith("dirty") for b in behaviors)
     assert readers.kafka_options("t")["startingOffsets"] == "earliest"
+
+
+def test_online_rules_judge_each_window_by_the_watermark_at_arrival(spark, tmp_path):
+    minute, end = 60_000, 5 * 60_000
+    clicks = [click(i, "article-000001", 4 * minute) for i in range(1, 6)]
+    # the click's windows end 5 to 9 minutes after T0; the first one is gone at its end - 1 + allowed
+    gone = MS0 + end - 1 + audit.ALLOWED_LATENESS_MS
+    steps = [{"kind": "event", "sequence": 1}]
+    for n, wm in ((2, gone - 1), (3, gone), (4, gone + 4 * minute - 1), (5, gone + 4 * minute)):
+        steps += [{"kind": "watermark", "watermark_ms": wm}, {"kind": "event", "sequence": n}]
+    steps.append({"kind": "watermark", "watermark_ms": gone})  # a fall changes nothing
+    assert [a[1:] for a in scripted.arrivals(steps)] == [(None, 0), (gone - 1, 1), (gone, 2), (gone + 4 * minute - 1, 3), (gone + 4 * minute, 4)]
+    events = joined(spark, [generator.article(1, T0, "science")], clicks).withColumn("sequence", F.regexp_extract("event_id", r"(\d+)$", 1).cast("long"))
+    late = schedule.at_arrival(events, scripted.schedule(spark, steps))
+    got = {(r["window_start_ms"] - MS0) // minute: r["click_count"] for r in schedule.rule_a_online(late, threshold=0).collect()}
+    assert got == {0: 2, 1: 3, 2: 3, 3: 3, 4: 4}
+    missing = schedule.at_arrival(events, scripted.schedule(spark, steps).filter("sequence = 3"))
+    assert missing.count() == 5 and {r["click_count"] for r in schedule.rule_a_online(missing, threshold=0).collect()} == {4, 5}
+    # rule B's only window ends 10 minutes after T0
+    assert [r["score"] for r in schedule.rule_b_online(late).collect()] == [5]
+    assert [r["score"] for r in schedule.rule_b_online(late, allowed_ms=0).collect()] == [1]
+    assert scripted.write_bursts(clicks, steps, tmp_path / "s") == 5
+    assert [json.loads(p.read_text())["event_id"] for p in sorted((tmp_path / "s").iterdir())] == [c["event_id"] for c in clicks]
+
+
+def test_late_scores(spark):
+    scores = spark.createDataFrame([("a1", "science", 600_000, 7)], "article_id string, category string, window_start_ms long, score long")
+    row = audit.late_scores(scores).first()
+    assert row[:4] == ("ROLE_B_LATE", "a1-600000", "a1", "RANK_STATE_EXPIRED")
+    assert json.loads(row["payload"]) == {"exception_type": "ROLE_B_LATE", "event_id": "a1-600000", "article_id": "a1", "category": "science", "window_start_ms": 600_000, "score": 7, "dirty_reason": "RANK_STATE_EXPIRED"}
+
+
+def test_writers_keep_pace_and_order(tmp_path):
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    assert list(generator.paced(range(1000), 500, lambda: now[0], sleep)) == list(range(1000))
+    assert now[0] == pytest.approx(2) and len(slept) <= 202
+    assert list(generator.paced([], 500, lambda: now[0], sleep)) == []
+    assert generator.write([GOOD], tmp_path / "x", 1000) == 1 and json.loads((tmp_path / "x").read_text()) == GOOD
+
+    class Producer:
+        def __init__(self):
+            self.sent, self.flushed = [], False
+
+        def send(self, topic, key, value):
+            self.sent.append((topic, key, json.loads(value)["event_id"]))
+
+        def flush(self):
+            self.flushed = True
+
+    p, article = Producer(), generator.article(1, at(5000), "science")
+    assert generator.send(p, [article], [GOOD, {**GOOD, "event_id": "e2", "article_id": None}]) == 3 and p.flushed
+    assert p.sent == [("topic_behavior", b"article-000001", "e1"), ("topic_behavior", None, "e2"), ("topic_article", b"article-000001", article["event_id"])]

@@ -45,7 +45,9 @@ def job(spark, root, out, store, **options):
 def test_unified_job_restart_and_rules(spark, data, tmp_path, few_partitions):
     root, _, behaviors, half = data
     store = SqliteStore(str(tmp_path / "r.db"))
-    job(spark, root, tmp_path, store, threshold=30).run_all()
+    begun = job(spark, root, tmp_path, store, threshold=30)
+    begun.run_all()
+    assert begun.metrics.rows["join"] > 0 and begun.metrics.kinds["joined"] == len(store.rows("clean_behavior"))
     first = len(store.rows("clean_behavior"))
     assert first > 0
     generator.write(behaviors[half:], root / "behaviors" / "1.jsonl")

@@ -43,6 +43,13 @@ def audit_rows(df: DataFrame, kind: str) -> DataFrame:
     return df.select(F.lit(kind).alias("event_type"), "event_id", "article_id", reason.alias("dirty_reason"), F.to_json(F.struct(*df.columns)).alias("payload"))
 
 
+def late_scores(scores: DataFrame, kind: str = "ROLE_B_LATE", reason: str = "RANK_STATE_EXPIRED") -> DataFrame:
+    """Audit rows of article scores whose window's ranking has been cleaned up; the id is article-window."""
+    event_id = F.concat_ws("-", F.col("article_id").cast("string"), F.col("window_start_ms").cast("string"))
+    rows = scores.select(F.lit(kind).alias("exception_type"), event_id.alias("event_id"), "article_id", "category", "window_start_ms", "score", F.lit(reason).alias("dirty_reason"))
+    return audit_rows(rows, kind)
+
+
 def status_rollup(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import validation
 from tidewatch.functions.scalar import event_millis, floor_to, millis_iso, salt, uuid3
-from tidewatch.operators import audit, dedup, enrich, rules
+from tidewatch.operators import audit, dedup, enrich, rules, schedule
 from tidewatch.sinks import merge
 from tidewatch.sources import readers
 
 DAY = 86_400_000
 VALID = ("click", "view", "purchase")
 A = {"size_ms": 5 * DAY, "slide_ms": DAY}
+#: steps of the made-up schedule, and the lateness that queries over it allow
+ONLINE_STEP, ONLINE_LATE = DAY, 2 * DAY
 C = {"look_back_ms": 5 * DAY, "min_articles": 2, "max_avg_ms": 60}
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -285,6 +287,33 @@ def iso_times(spark, d):
     return readers.table(spark, d, "events").select("event_id", millis_iso(ms).alias("event_time"), floor_to(ms, 60_000).alias("minute_ms"))
 
 
+# --- the rules online: a made-up schedule, in which a third of the events have no entry ---
+ARRIVED = f"SELECT b.*, s.wm_before_ms FROM ({ENRICHED}) b LEFT JOIN (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (epoch_us(ts) // 1000) + (event_id % 11) * {ONLINE_STEP} END AS wm_before_ms FROM events WHERE event_id % 3 <> 0) s USING (event_id)"
+
+
+def arrived(spark, d) -> DataFrame:
+    e = readers.table(spark, d, "events").filter(F.col("event_id") % 3 != 0)
+    wm = F.when(F.col("event_id") % 5 != 0, event_millis(F.col("ts")) + (F.col("event_id") % 11) * ONLINE_STEP)
+    return schedule.at_arrival(enriched(spark, d).withColumn("sequence", F.col("event_id")), e.select(F.col("event_id").alias("sequence"), wm.alias("wm_before_ms")))
+
+
+@query("rule_a_online", f"""SELECT window_start_ms, window_start_ms + {5 * DAY} AS window_end_ms, article_id, title, category, COUNT(*) AS click_count FROM (SELECT (event_ms // {DAY} - o.i) * {DAY} AS window_start_ms, e.* FROM ({ARRIVED}) e CROSS JOIN range(5) o(i) WHERE action = 'click')
+ WHERE wm_before_ms IS NULL OR wm_before_ms < window_start_ms + {5 * DAY} - 1 + {ONLINE_LATE} GROUP BY ALL HAVING COUNT(*) > 2""")
+def rule_a_online(spark, d):
+    return schedule.rule_a_online(arrived(spark, d), threshold=2, allowed_ms=ONLINE_LATE, **A)
+
+
+@query("rule_b_online", f"""WITH e AS (SELECT *, event_ms // {DAY} * {DAY} AS window_start_ms FROM ({ARRIVED})), t AS (SELECT window_start_ms, category, COUNT(*) AS score FROM e WHERE wm_before_ms IS NULL OR wm_before_ms < window_start_ms + {DAY} - 1 + {ONLINE_LATE} GROUP BY ALL),
+ r AS (SELECT *, CAST(SUM(score) OVER (PARTITION BY window_start_ms) AS BIGINT) AS revision, row_number() OVER (PARTITION BY window_start_ms ORDER BY score DESC, category) AS rank_no FROM t) SELECT window_start_ms, rank_no, window_start_ms + {DAY} AS window_end_ms, category, score, revision FROM r WHERE rank_no <= 5""")
+def rule_b_online(spark, d):
+    return schedule.rule_b_online(arrived(spark, d), DAY, allowed_ms=ONLINE_LATE).drop("top_articles")
+
+
+@query("late_rank_scores", f"SELECT 'ROLE_B_LATE' AS event_type, article_id || '-' || window_start_ms AS event_id, article_id, 'RANK_STATE_EXPIRED' AS dirty_reason FROM ({SQL_SCORES})")
+def late_rank_scores(spark, d):
+    return audit.late_scores(rules.rule_b_scores(enriched(spark, d), DAY)).drop("payload")
+
+
 # --- the same rules on a second star: line items as behaviours, parts as articles ---
 LINES = "SELECT l_orderkey * 10 + l_linenumber AS event_id, l_partkey AS article_id, 'click' AS action, l_suppkey AS ip, (epoch_us(l_shipdate) // 1000) AS event_ms, l_quantity AS read_duration_ms FROM lineitem"
 LINES_E = f"SELECT b.*, p.p_name AS title, p.p_brand AS category FROM ({LINES}) b JOIN part p ON p.p_partkey = b.article_id"

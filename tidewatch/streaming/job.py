@@ -18,6 +18,7 @@ from tidewatch.operators import dedup
 from tidewatch.sinks.store import SqliteStore
 from tidewatch.streaming import pipeline
 from tidewatch.streaming.cores import JoinCore, RuleCCore
+from tidewatch.streaming.metrics import Metrics, observe_kinds
 
 
 @dataclass
@@ -34,6 +35,8 @@ class Job:
     threshold: int = 1000
     salts: int = 8
     idle: bool = False
+    #: rows, rates, batch times and the join's counts by kind, filled while the queries run
+    metrics: Metrics = field(default_factory=Metrics)
 
     def _to_table(self, name: str) -> Callable[[DataFrame, int], None]:
         """Appends a batch under its number, so that a replayed batch overwrites itself."""
@@ -66,12 +69,19 @@ class Job:
             ("rule_b", pipeline.stream_rule_b(unique), pipeline.sink_b(self.store), "update"), ("late_b", unique, pipeline.late_sink(self.store, "B"), "append"),
             ("rule_c", pipeline.stream_rule_c(unique, self.rule_c), pipeline.sink_c(self.store), "update")]
         return [
-            first, [("join", joined, pipeline.fan_out(self.store, f"{self.root}/clean"), "append")],
+            first, [("join", observe_kinds(joined), pipeline.fan_out(self.store, f"{self.root}/clean"), "append")],
             # a behaviour that is replayed into the join under a new run would come out of it twice
             [("unique", dedup.dedup_stream(clean, ["event_id"]), self._to_table("unique"), "append")], rules]
 
     def run_all(self, limit_s: float = 300) -> None:
         """Works off what has arrived, stage by stage, and returns; a later call goes on from the checkpoints."""
+        self.spark.streams.addListener(self.metrics)
+        try:
+            self._work_off(limit_s)
+        finally:
+            self.spark.streams.removeListener(self.metrics)
+
+    def _work_off(self, limit_s: float) -> None:
         for group in self.stages():
             for name, df, sink, mode in group:
                 at = f"{self.root}/state/{name}"
@@ -81,5 +91,6 @@ class Job:
                     pipeline.start(df, sink, at, mode, once=True, name=name).awaitTermination()
 
     def start_all(self, every: str = "30 seconds") -> list[StreamingQuery]:
-        """All queries at once, until they are stopped."""
+        """All queries at once, until they are stopped; `metrics` listens for as long as the session."""
+        self.spark.streams.addListener(self.metrics)
         return [pipeline.start(df, sink, f"{self.root}/state/{name}", mode, every=every, name=name) for group in self.stages() for name, df, sink, mode in group]
