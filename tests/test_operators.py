@@ -1,6 +1,7 @@
 """Batch operators on the fixtures of the survey: validation, deduplication, joins and rule boundaries."""
 
 import json
+import math
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -235,3 +236,16 @@ def test_writers_keep_pace_and_order(tmp_path):
     p, article = Producer(), generator.article(1, at(5000), "science")
     assert generator.send(p, [article], [GOOD, {**GOOD, "event_id": "e2", "article_id": None}]) == 3 and p.flushed
     assert p.sent == [("topic_behavior", b"article-000001", "e1"), ("topic_behavior", None, "e2"), ("topic_article", b"article-000001", article["event_id"])]
+
+
+def test_rule_c_threshold_and_mean_depend_on_no_order(spark):
+    # read in this order the sum of ten binary fractions stays below 6; exactly it is 6
+    rows = [(f"e{i}", i, "click", "x", i, 0.6) for i in range(10)] + [(f"f{i}", i, "click", "y", i, v) for i, v in enumerate((0.1, 0.2, 0.3))] + [(f"g{i}", i, "click", "z", i, v) for i, v in enumerate((0.3, 0.2, 0.1))]
+    e = spark.createDataFrame(rows, "event_id string, article_id long, action string, ip string, event_ms long, read_duration_ms double")
+    assert 0.6 + 0.6 + 0.6 + 0.6 + 0.6 + 0.6 + 0.6 + 0.6 + 0.6 + 0.6 < 6
+    assert not [r for r in rules.rule_c_candidates(e, 100, 9, 0.6).collect() if r["ip"] == "x"]
+    got = {r["ip"]: r["avg_read_duration_ms"] for r in rules.rule_c(e, 100, 100, 2, 0.5).collect()}
+    assert got == {"y": 0.6 / 3, "z": 0.6 / 3}
+    odd = e.withColumn("read_duration_ms", F.when(F.col("event_id") == "e3", F.lit(float("nan"))).when(F.col("event_id") == "e4", None).when(F.col("event_id") == "e5", 1e30).otherwise(F.col("read_duration_ms")))
+    sums = [r["read_duration_sum_ms"] for r in rules.rule_c_lookback(odd.filter("ip = 'x'"), 2).orderBy("event_ms").collect()]
+    assert sums[2] == 1.2 and math.isnan(sums[3]) and math.isnan(sums[4]) and sums[5] == 1e30

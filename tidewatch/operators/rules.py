@@ -6,8 +6,9 @@ article_version. Times in results are epoch milliseconds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.scalar import MINUTE_MS, floor_to
 
@@ -94,6 +95,21 @@ def latest_snapshot(ranking: DataFrame) -> DataFrame:
     return per_window.agg(F.max_by(F.struct("window_start_ms", "window_end_ms", "revision", "ranking"), F.struct("window_start_ms", "revision")).alias("_r")).filter("_r is not null").select("_r.*")
 
 
+def _exact_sum(df: DataFrame, name: str, w: WindowSpec) -> Column:
+    """Sum over a window that depends on no order of the rows.
+
+    Fractions are added as decimals, as they are printed, and rounded once; what isn't finite or is 1e9 or more is
+    added as it is. A sum of binary fractions would fall below a threshold, or not, by the order of its rows.
+    """
+    if not isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.sum(name).over(w)
+    v = F.col(name).cast("double")
+    plain = F.abs(v) < 1e9
+    fine = F.sum(F.when(plain, v).cast("decimal(38,18)")).over(w).cast("double")
+    rest = F.sum(F.when(~plain, v)).over(w)
+    return F.coalesce(fine + rest, fine, rest)
+
+
 def rule_c_lookback(enriched: DataFrame, look_back_ms: int = MINUTE_MS) -> DataFrame:
     """Each click with what its address read in (t - look_back, t], clicks of the same millisecond included.
 
@@ -103,7 +119,7 @@ def rule_c_lookback(enriched: DataFrame, look_back_ms: int = MINUTE_MS) -> DataF
     w = Window.partitionBy("ip").orderBy("event_ms").rangeBetween(-(look_back_ms - 1), 0)
     return enriched.filter(F.col("action") == "click").select(
         "ip", "event_id", "event_ms",
-        F.collect_set("article_id").over(w).alias("_ids"), F.count(F.lit(1)).over(w).alias("click_count"), F.sum("read_duration_ms").over(w).alias("read_duration_sum_ms"),
+        F.collect_set("article_id").over(w).alias("_ids"), F.count(F.lit(1)).over(w).alias("click_count"), _exact_sum(enriched, "read_duration_ms", w).alias("read_duration_sum_ms"),
     ).select("ip", "event_id", "event_ms", F.size("_ids").cast("long").alias("article_count"), "click_count", "read_duration_sum_ms", F.col("_ids").alias("article_ids"))
 
 
