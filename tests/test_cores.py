@@ -3,11 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from tidewatch.sinks import merge
 from tidewatch.sinks.store import SqliteStore, batch_size, chunks, with_retry
 from tidewatch.streaming.cores import BEYOND_LATENESS, NOT_YET_FOUND, REJOINED, REPLAY_REQUIRED, JoinCore, JoinState, RuleCCore
 from tidewatch.streaming.metrics import RollingP95
+from tidewatch.streaming.processors import RuleCProcessor
 
 M = 60_000
 
@@ -192,3 +194,62 @@ def test_p95_is_nearest_rank():
     for i in range(1, 201):
         p.add(i)
     assert p.get() == 195
+
+
+def test_rule_c_adds_reads_exactly():
+    # added one by one these stay below 6
+    assert not RuleCCore(100, 9, 0.6).answer(0, {f"e{i}": (i, f"a{i}", 0.6) for i in range(10)}, {}).alert
+
+
+def test_rule_c_state_is_accessed_by_minute_not_by_address():
+    class Minutes(dict):
+        calls = 0
+
+        def _count(self, value=None):
+            self.calls += 1
+            return value
+
+        def exists(self):
+            return self._count(bool(self))
+
+        def containsKey(self, k):
+            return self._count(k in self)
+
+        def getValue(self, k):
+            return self._count(self[k])
+
+        def updateValue(self, k, v):
+            self._count()
+            self[k] = v
+
+        def removeKey(self, k):
+            self._count()
+            del self[k]
+
+        def clear(self):
+            self._count()
+            super().clear()
+
+    class At:
+        timers, wm, fired = [], 0, 0
+        getCurrentProcessingTimeInMs = lambda self: 0
+        getCurrentWatermarkInMs = lambda self: self.wm
+        getExpiryTimeInMs = lambda self: self.fired
+        getMapState = lambda self, *a: minutes
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    def send(lo, hi):
+        rows = [Row(ip=f"ip{a}", event_id=f"{a}-{i}", event_ms=m * M + i, article_id=f"a{i}", read_duration_ms=1) for a in range(40) for m in range(3) for i in range(lo, hi)]
+        return [r for r in p.handleInputRows((7,), iter(rows), at) if not r["retracted"]]
+
+    minutes, at = Minutes(), At()
+    p = RuleCProcessor(RuleCCore(), ttl_ms=0)
+    p.init(at)
+    assert not send(0, 20) and minutes.calls < 10 and at.timers == [67 * M]
+    assert {(r["ip"], r["alert_minute_ms"], r["article_count"]) for r in send(20, 51)} == {(f"ip{a}", m * M, 51) for a in range(40) for m in range(3)}
+    at.wm = at.fired = 67 * M
+    list(p.handleExpiredTimer((7,), at, at))
+    assert sorted(minutes) == [(M,), (2 * M,)] and at.timers[-1] == 68 * M
+    at.wm = at.fired = 69 * M
+    list(p.handleExpiredTimer((7,), at, at))
+    assert not minutes

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -100,6 +101,11 @@ class Snapshot:
     revision: int = 0
 
 
+def _total(durations: list) -> int | float:
+    """Sum that depends on no order: of whole numbers, or of fractions rounded once."""
+    return sum(durations) if all(isinstance(d, int) for d in durations) else math.fsum(durations)
+
+
 class RuleCCore:
     """Look-back per address with revisions and retractions.
 
@@ -130,12 +136,17 @@ class RuleCCore:
     def answer(self, bucket: int, own: dict, before: dict) -> Snapshot | None:
         """The state at the bucket's first click whose look-back raises the alert, else at its last; None without a click in it.
 
-        Columns are sorted once. Counts and sums of every look-back are differences of positions and of running totals;
-        only where these leave an alert possible are distinct articles counted: those whose previous click (of the same
-        article) lies before the look-back.
+        Few articles raise no alert, so only the last look-back is gathered. Otherwise columns are sorted once. Counts and
+        sums of every look-back are differences of positions and of running totals; only where these leave an alert
+        possible, but for rounding, are distinct articles counted (those whose previous click, of the same article, lies
+        before the look-back) and reads added exactly.
         """
         if not own:
             return None
+        if len({c[1] for part in (before, own) for c in part.values()}) <= self.min_articles:
+            end = max(c[0] for c in own.values())
+            seen = [c for part in (before, own) for c in part.values() if end - self.bucket_ms < c[0] <= end]
+            return Snapshot(end, len(seen), _total([c[2] for c in seen]), tuple(sorted({c[1] for c in seen})), False)
         ms, article, duration = (np.array(c) for c in zip(*sorted([*before.values(), *own.values()], key=lambda c: c[0]), strict=True))
         running = np.concatenate(([0], np.cumsum(duration)))
         _, name = np.unique(article, return_inverse=True)
@@ -145,11 +156,13 @@ class RuleCCore:
         previous[by_name[1:][repeat]] = by_name[:-1][repeat]
         ends = np.unique(ms[ms >= bucket])
         low, high = np.searchsorted(ms, ends - self.bucket_ms, "right"), np.searchsorted(ms, ends, "right")
-        hot = (high - low > self.min_articles) & (running[high] - running[low] < self.max_avg_ms * (high - low))
-        first = next((k for k in np.flatnonzero(hot).tolist() if np.count_nonzero(previous[low[k] : high[k]] < low[k]) > self.min_articles), None)
+        slack = 0 if duration.dtype.kind == "i" else 4 * len(ms) * np.finfo(float).eps * np.abs(duration).sum()
+        hot = (high - low > self.min_articles) & (running[high] - running[low] < self.max_avg_ms * (high - low) + slack)
+        raises = lambda a, b: np.count_nonzero(previous[a:b] < a) > self.min_articles and (not slack or _total(duration[a:b].tolist()) < self.max_avg_ms * (b - a))
+        first = next((k for k in np.flatnonzero(hot).tolist() if raises(low[k], high[k])), None)
         k = len(ends) - 1 if first is None else first
         within = slice(low[k], high[k])
-        return Snapshot(int(ends[k]), int(high[k] - low[k]), duration[within].sum().item(), tuple(np.unique(article[within]).tolist()), first is not None)
+        return Snapshot(int(ends[k]), int(high[k] - low[k]), _total(duration[within].tolist()), tuple(np.unique(article[within]).tolist()), first is not None)
 
     @staticmethod
     def follow(previous: Snapshot | None, current: Snapshot) -> tuple[Snapshot, bool]:

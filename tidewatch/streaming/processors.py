@@ -97,10 +97,12 @@ class JoinProcessor(StatefulProcessor):
 
 
 class RuleCProcessor(StatefulProcessor):
-    """Input: ip, event_id, event_ms, article_id, read_duration_ms. Runs in event-time mode.
+    """Input: ip, event_id, event_ms, article_id, read_duration_ms, by groups of addresses. Runs in event-time mode.
 
-    State is kept per minute, each with the time it was written, so a batch reads the minutes that it touches and those
-    before them, however many clicks an address has. What is older than the time to live reads as absent.
+    State is kept per minute, each address's clicks and answer with the times they were written, so a batch reads the
+    minutes that it touches and those before them. What is older than the time to live reads as absent. Each access to
+    the state is a round trip to the JVM, so a minute of all the group's addresses is one entry, a group without state is
+    asked once, and it has a single timer: that of its first minute to expire when it was set, which sets the next one.
     """
 
     def __init__(self, core: RuleCCore, ttl_ms: int = 3_600_000):
@@ -109,24 +111,23 @@ class RuleCProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.minutes = handle.getMapState("minutes", LONG_KEY, TEXT)
-        self.answers = handle.getMapState("answers", LONG_KEY, TEXT)
 
-    def _get(self, state, key: int, now: int):
-        if not state.containsKey((key,)):
-            return None
-        written, value = json.loads(state.getValue((key,))[0])
-        return None if self.ttl_ms and now - written > self.ttl_ms else value
-
-    def _put(self, state, key: int, now: int, value) -> None:
-        state.updateValue((key,), (json.dumps([now, value]),))
+    def _get(self, key: int, now: int) -> dict:
+        """address -> [clicks, time written, answer, time written]"""
+        if not self.minutes.containsKey((key,)):
+            return {}
+        old = lambda written: self.ttl_ms and now - written > self.ttl_ms
+        found = ((ip, [{} if old(t) else clicks, t, None if old(u) else answer, u]) for ip, clicks, t, answer, u in json.loads(self.minutes.getValue((key,))[0]))
+        return {ip: e for ip, e in found if e[0] or e[2]}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now, wm = timerValues.getCurrentProcessingTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        core, minutes, touched, late = self.core, {}, set(), []
+        core, minutes, changed, touched, late = self.core, {}, set(), set(), []
+        known = self.minutes.exists()
 
         def minute(m: int) -> dict:
             if m not in minutes:
-                minutes[m] = self._get(self.minutes, m, now) or {}
+                minutes[m] = self._get(m, now) if known else {}
             return minutes[m]
 
         for r in rows:
@@ -134,21 +135,29 @@ class RuleCProcessor(StatefulProcessor):
             if kind != "on_time":
                 late.append(_c_row(kind="late", ip=r.ip, window_end_ms=r.event_ms, event_id=r.event_id, article_id=r.article_id, watermark_ms=wm))
             if kind != "dropped":
-                minute(core.bucket(r.event_ms))[r.event_id] = [r.event_ms, r.article_id, r.read_duration_ms]
-                touched.update(core.targets(r.event_ms, wm))
-        for m in list(minutes):
-            self._put(self.minutes, m, now, minutes[m])
-            self.handle.registerTimer(core.last_use(m))
-        for bucket in sorted(touched):
-            current = core.answer(bucket, minute(bucket), minute(bucket - core.bucket_ms))
-            if current is None:
+                m = core.bucket(r.event_ms)
+                entry = minute(m).setdefault(r.ip, [{}, now, None, now])
+                entry[0][r.event_id] = [r.event_ms, r.article_id, r.read_duration_ms]
+                entry[1] = now
+                changed.add(m)
+                touched.update((t, r.ip) for t in core.targets(r.event_ms, wm))
+        alerts = []
+        for bucket, ip in sorted(touched, key=lambda t: t[0]):
+            entry = minute(bucket).get(ip)
+            if not entry or not entry[0]:
                 continue
-            old = self._get(self.answers, bucket, now)
+            before = minute(bucket - core.bucket_ms).get(ip)
+            current, old = core.answer(bucket, entry[0], before[0] if before else {}), entry[2]
             current, send = core.follow(Snapshot(**{**old, "article_ids": tuple(old["article_ids"])}) if old else None, current)
-            self._put(self.answers, bucket, now, asdict(current))
-            self.handle.registerTimer(core.cleanup_at(bucket))
+            entry[2:] = [asdict(current), now]
+            changed.add(bucket)
             if send:
-                yield self._alert(key[0], bucket, current)
+                alerts.append(self._alert(ip, bucket, current))
+        for m in changed:
+            self.minutes.updateValue((m,), (json.dumps([[ip, *e] for ip, e in minutes[m].items()]),))
+        if changed and not known:
+            self.handle.registerTimer(min(map(core.last_use, changed)))
+        yield from alerts
         yield from late
 
     def _alert(self, ip, bucket: int, s: Snapshot) -> Row:
@@ -159,10 +168,15 @@ class RuleCProcessor(StatefulProcessor):
             read_duration_sum_ms=float(s.duration_sum), avg_read_duration_ms=s.duration_sum / s.click_count, article_ids=[str(a) for a in s.article_ids])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        bucket = expiredTimerInfo.getExpiryTimeInMs() - self.core.bucket_ms - self.core.lateness_ms
-        for state, k in ((self.answers, bucket), (self.minutes, bucket - self.core.bucket_ms)):
-            if state.containsKey((k,)):
-                state.removeKey((k,))
+        wm = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        kept = [k for (k,) in self.minutes.keys()]
+        gone = [k for k in kept if self.core.last_use(k) <= wm]
+        if len(gone) == len(kept):
+            self.minutes.clear()
+            return iter(())
+        for k in gone:
+            self.minutes.removeKey((k,))
+        self.handle.registerTimer(min(self.core.last_use(k) for k in kept if self.core.last_use(k) > wm))
         return iter(())
 
     def close(self) -> None:
