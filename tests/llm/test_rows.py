@@ -66,6 +66,30 @@ def test_template_of_a_host_goes(spark):
     assert got == {i: f"Story number {i} of a." if i < 100 else f"Home of all news\nStory number {i} of b." for i, _, _ in rows}
 
 
+def test_template_is_counted_on_pages_with_an_article(spark):
+    menu = "<ul><li>Home of all news</ul>"
+    rows = [(i, f"http://a/{i}", f"<div>{menu}</div><article><h1>Title {i}</h1><p>Story {i}.</p></article>") for i in range(4)]
+    rows += [(10 + i, f"http://b/{i}", f"<nav><div>{menu}</div></nav><article><p>Story {i}.</p></article>") for i in range(4)]
+    rows += [(x, f"http://{h}/x", f"<div>{menu}</div><p>No article here.</p>") for x, h in ((20, "a"), (21, "b"))]
+    got = pages(spark, rows)
+    assert got == {**{i: f"Title {i}\nStory {i}." for i in range(4)}, **{10 + i: f"Story {i}." for i in range(4)}, 20: "No article here.", 21: "No article here."}
+
+
+def test_template_within_an_article_goes(spark):
+    """A box on most articles of the host goes; on few, in headings, or as copies and versions of an article, text stays."""
+    box, few, head = "<div><p>Get our letter each week.</p></div>", "<div><p>In four of the ten.</p></div>", "<div><h2>Steps</h2></div>"
+    same, short = "<div><p>The whole body of one article.</p></div>", "<div><p>Taken down.</p></div>"
+    rows = [(i, f"http://a/{i}", f"<main>{box}<article><h1>Title {i}</h1>{few if i < 4 else ''}{head}<p>Story {i} of the ten.</p>{box}</article></main>") for i in range(10)]
+    rows += [(20 + i, f"http://b/{i}", f"<div>Page {i}</div><article><h1>Title</h1>{same}<p>Version {i}</p></article>") for i in range(4)]
+    rows += [(30 + i, f"http://c/{i}", f"<article>{same}<p>Version {i}</p></article>") for i in range(4)]
+    rows += [(40 + i, f"http://d/{i}", f"<article><h1>A longer title {i}</h1>{short}</article>") for i in range(4)]
+    rows += [(50 + i, f"http://e/{i}", f"<div><article><h1>Title</h1>{same}</article></div><p>Outside {i}</p>") for i in range(4)]
+    want = {i: f"Title {i}\n" + "In four of the ten.\n" * (i < 4) + f"Steps\nStory {i} of the ten." for i in range(10)}
+    want |= {20 + i: f"Title\nThe whole body of one article.\nVersion {i}" for i in range(4)} | {30 + i: f"The whole body of one article.\nVersion {i}" for i in range(4)}
+    want |= {40 + i: f"A longer title {i}\nTaken down." for i in range(4)} | {50 + i: "Title\nThe whole body of one article." for i in range(4)}
+    assert pages(spark, rows) == want
+
+
 def test_attributes_are_told_from_their_values():
     page = '<article><p style="overflow: hidden">one</p><p data-id="comment 7">two</p><p data-role="banner">three</p><p title="a hidden id=comment">four</p><p hidden>five</p><p class="comment">six</p></article>'
     assert html_extract.extract(page) == "one\ntwo\nthree\nfour"

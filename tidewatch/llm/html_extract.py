@@ -1,15 +1,20 @@
 """Main text of web pages.
 
-Elements are parsed into a tree. Block-level subtrees outside the article are hashed; Spark counts, per host, the
-distinct pages that each hash occurs on. Of a page without article, subtrees that recur on `min_pages` pages and on a
-share of `min_share` of the host's pages are deleted as the site's template; an article is never cut by recurrence.
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are also known by tag,
-role and class. What is left of the article (of the body, without one) gives blocks of text.
+Elements are parsed into a tree. Block-level subtrees of every page are hashed, whatever their labels, and Spark counts
+per host what each hash occurs on: the distinct pages, or within articles the distinct articles. Subtrees that recur on
+`min_pages` of them and on a share (`min_share` of the pages, `article_share` of the articles) are the site's template and
+are deleted wherever they stand. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments are also known by tag, role and class. What is left of the article (of the body, without one) gives blocks of text.
+
+Within an article only containers with more than headings go; paragraphs, headings and nested articles stay. Articles of
+equal h1 (without any: of equal text) count once, so copies and versions of one are no template. An article keeps what
+recurs if nothing but headings would stay, or, without an h1, if it would lose half of its text or more. An article in
+an article is counted apart, with those of its depth.
 
 Defined results: a null page counts as empty and gives empty text; text without any tag is one block; unclosed
-elements end with their parent or the page; an unclosed comment or script runs to the end; equal pages of a host
-count once, whatever their ids, and get equal texts; a url without host has the host ""; an empty table gives an
-empty result; other columns are ignored.
+elements end with their parent or the page; an unclosed comment or script runs to the end; equal pages of a host, told
+by tags and text, count once, whatever their ids; pages of equal html get equal texts; a url without host has the host
+""; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.joins import Scratch
 
-MIN_PAGES, MIN_SHARE = 4, 0.1
+MIN_PAGES, MIN_SHARE, ARTICLE_SHARE = 4, 0.1, 0.5
 
 # Element names of the HTML standard, and class words that sites use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +44,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 ARTICLE = ("article", "main")
 CONTAINERS = frozenset("div section aside ul ol table header footer nav form figure details fieldset".split())
 FURNITURE = CONTAINERS | {"p"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKENS = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>""", re.S | re.I)
@@ -46,14 +52,17 @@ TOKENS = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
 SPACE = re.compile(r"\s+")
-HASHES = T.ArrayType(T.LongType())
+UNITS = T.ArrayType(T.ArrayType(T.LongType()))
 
 
 class Node:
-    __slots__ = ("tag", "drop", "main", "parts", "hash")
+    # key: what the subtree is counted by, 0 if it can't be part of a template; text: 0 none, 1 of headings, 2 more;
+    # holds: an article that isn't dropped is in it
+    __slots__ = ("tag", "drop", "main", "parts", "hash", "key", "text", "holds")
 
     def __init__(self, tag: str, drop: bool = False, main: bool = False):
         self.tag, self.drop, self.main, self.parts, self.hash = tag, drop, main, [], 0
+        self.key, self.text, self.holds = 0, 0, False
 
 
 def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -116,28 +125,93 @@ def parse(page: str) -> Node:
     return root
 
 
-def hashes(root: Node) -> tuple[set[int], int]:
-    """Fill in subtree hashes and return those that may belong to a template, and the length of all kept text."""
-    found: set[int] = set()
+class Unit:
+    """The page (depth 0), or an article in it: what its subtrees are counted over."""
+
+    __slots__ = ("depth", "above", "keys", "titles", "stay", "gone", "nodes")
+
+    def __init__(self, above: Unit | None = None):
+        self.depth, self.above = above.depth + 1 if above else 0, above
+        self.keys, self.titles, self.stay, self.gone, self.nodes = set(), [], 0, 0, []
 
+
+def hashes(root: Node) -> list[list[int]]:
+    """Fill in hashes and keys; a row [depth, identity, keys that may belong to a template ...] for each unit of the page."""
+    rows: list[list[int]] = []
+    page = Unit()
     # without recursion: pages nest as deep as they like
-    def visit(top: Node) -> None:
-        todo: list[tuple[Node, bool, bool]] = [(top, False, False)]
-        while todo:
-            n, inside, done = todo.pop()
-            if not done:
-                todo.append((n, inside, True))
-                todo += [(c, inside or n.main, False) for c in n.parts if isinstance(c, Node)]
-                continue
-            h = xxhash.xxh3_64(n.tag)
-            for c in n.parts:
-                h.update(c.hash.to_bytes(8, "little") if isinstance(c, Node) else SPACE.sub(" ", c).strip())
-            n.hash = h.intdigest()
-            if not n.drop and not n.main and not inside and n.tag in FURNITURE and n is not top:
-                found.add(n.hash)
-
-    visit(root)
-    return found, 0
+    todo: list[tuple[Node, Unit, Unit, bool, bool]] = [(root, page, page, False, False)]
+    while todo:
+        n, unit, inner, gone, done = todo.pop()
+        if not done:
+            gone = gone or n.drop
+            inner = Unit(unit) if n.main and not gone else unit
+            todo.append((n, unit, inner, gone, True))
+            todo += [(c, inner, inner, gone, False) for c in n.parts if isinstance(c, Node)]
+            continue
+        h = xxhash.xxh3_64(n.tag)
+        heading = n.tag in HEADINGS
+        for c in n.parts:
+            if isinstance(c, Node):
+                h.update(c.hash.to_bytes(8, "little"))
+                n.text = max(n.text, min(c.text, 1) if heading else c.text)
+                n.holds = n.holds or c.holds
+            else:
+                s = SPACE.sub(" ", c).strip()
+                h.update(s)
+                if s:
+                    n.text = max(n.text, 1 if heading else 2)
+        n.hash = h.intdigest()
+        if inner is not unit:
+            n.holds = True
+            rows.append([inner.depth, _told_by(inner, n), *inner.keys])
+            unit.titles += inner.titles
+        elif n.tag == "h1" and n.text and not gone:
+            unit.titles.append(n.hash)
+        elif n is not root and not n.main and not n.holds and n.tag in (CONTAINERS if unit.depth else FURNITURE) and n.text > (unit.depth > 0):
+            n.key = xxhash.xxh3_64_intdigest(n.hash.to_bytes(8, "little"), unit.depth) if unit.depth else n.hash
+            unit.keys.add(n.key)
+    return [*rows, [0, root.hash, *page.keys]]
+
+
+def _told_by(unit: Unit, article: Node) -> int:
+    """By its h1; without any, by all of it."""
+    return xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8, "little") for h in sorted(unit.titles))) if unit.titles else article.hash
+
+
+def spare(root: Node, template: frozenset[int]) -> None:
+    """Take the keys from articles that would lose too much: they are copies, and what recurs is their text."""
+    units: list[Unit] = []
+    todo: list[tuple[Node, Unit, bool, str]] = [(root, Unit(), False, "")]
+    while todo:
+        n, unit, gone, heading = todo.pop()
+        if n.drop:
+            continue
+        heading = heading or (n.tag if n.tag in HEADINGS else "")
+        if n.main:
+            unit = Unit(unit)
+            units.append(unit)
+        elif n.key in template:
+            gone = True
+            unit.nodes.append(n)
+        for c in n.parts:
+            if isinstance(c, Node):
+                todo.append((c, unit, gone, heading))
+            elif size := len(SPACE.sub("", c)):
+                # an article within an article stays, whatever goes from it
+                u, lost = unit, gone
+                while u:
+                    if heading == "h1":
+                        u.titles.append(size)
+                    elif lost and not heading:
+                        u.gone += size
+                    elif not heading:
+                        u.stay += size
+                    u, lost = u.above, False
+    for u in units:
+        if not u.stay or not u.titles and u.gone >= u.stay:
+            for n in u.nodes:
+                n.key = 0
 
 
 def has_article(root: Node) -> bool:
@@ -169,7 +243,7 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
         elif isinstance(x, str):
             if keep:
                 now.append(x)
-        elif not x.drop and (x.hash not in template or x.main or x is root):
+        elif not x.drop and x.key not in template:
             keep = keep or x.main
             block = x.tag in BLOCKS
             if block:
@@ -184,8 +258,9 @@ def blocks(root: Node, template: frozenset[int] = frozenset()) -> list[str]:
 
 def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     root = parse(page or "")
-    if template and not has_article(root):
+    if template:
         hashes(root)
+        spare(root, template)
         rest = blocks(root, template)
         # a template is furniture: where it would take the whole page, the page was a copy
         return "\n".join(rest if rest else blocks(root))
@@ -196,7 +271,7 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_share: float = MIN_SHARE) -> DataFrame:
+def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
     """id, url, text and n_chars of every page."""
     # a page is told by its host and 128 bits of its html: copies count once, and ids don't matter
     p = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(html_col, F.lit("")).alias("_html"), host(F.col(url_col)).alias("_host"))
@@ -204,18 +279,19 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "p
     key = ["_host", "_k1", "_k2"]
     scratch = Scratch(pages.sparkSession)
 
-    @F.pandas_udf(HASHES)
-    def subtrees(htmls: pd.Series) -> pd.Series:
-        # only a page without article loses subtrees; 0 stands for the page itself
-        return pd.Series([[h - (1 << 63) for h in hashes(root)[0]] if not has_article(root := parse(s)) else [] for s in htmls], dtype=object)
+    @F.pandas_udf(UNITS)
+    def units(htmls: pd.Series) -> pd.Series:
+        return pd.Series([[[u[0], *(h - (1 << 63) for h in u[1:])] for u in hashes(parse(s))] for s in htmls], dtype=object)
 
-    # stored, since it is read twice and a page's hashes are far smaller than the page
-    seen = scratch.store(p.select(*key, subtrees("_html").alias("_hs")).dropDuplicates(key))
+    # stored, since it is read three times and a page's hashes are far smaller than the page
+    seen = scratch.store(p.select(*key, units("_html").alias("_us")).dropDuplicates(key))
+    each = seen.select(*key, F.explode("_us").alias("_u")).select(*key, F.col("_u")[0].alias("_depth"), F.col("_u")[1].alias("_unit"), F.expr("slice(_u, 3, size(_u))").alias("_hs"))
     # counted per host with partial sums, so a hot host or a menu on all its pages is a row per task
-    sizes = seen.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    sums = seen.select("_host", F.explode("_hs").alias("_h")).groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_pages)
-    often = scratch.store(sums.join(sizes, "_host").filter(F.col("_n") >= min_share * F.col("_pages")).select("_host", "_h"))
-    mine = seen.select(*key, F.explode("_hs").alias("_h")).join(often, ["_host", "_h"]).groupBy(*key).agg(F.collect_set("_h").alias("_template"))
+    sizes = each.select("_host", "_depth", "_unit").distinct().groupBy("_host", "_depth").agg(F.count(F.lit(1)).alias("_units"))
+    sums = each.select("_host", "_depth", "_unit", F.explode("_hs").alias("_h")).distinct().groupBy("_host", "_depth", "_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_pages)
+    share = F.when(F.col("_depth") == 0, min_share).otherwise(article_share)
+    often = scratch.store(sums.join(sizes, ["_host", "_depth"]).filter(F.col("_n") >= share * F.col("_units")).select("_host", "_h"))
+    mine = each.select(*key, F.explode("_hs").alias("_h")).join(often, ["_host", "_h"]).groupBy(*key).agg(F.collect_set("_h").alias("_template"))
 
     @F.pandas_udf(T.StringType())
     def main_text(htmls: pd.Series, templates: pd.Series) -> pd.Series:
