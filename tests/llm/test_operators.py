@@ -287,6 +287,33 @@ def test_toxicity_disguises_at_the_ends_and_in_most_letters():
     assert not c.words("*** -- !!")
 
 
+def test_toxicity_decodes_the_sample_once_for_features_and_once_for_the_fit(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(t):
+        seen.add(1)
+        return t
+
+    rows = [(i, prose(i, 30) + (" you are an idiot and a moron" if i % 4 == 0 else " you are kind")) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.udf(see, "string")("text"))
+    m = toxicity.fit(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"), channel=small_channel())
+    assert "idiot$" in m.index and 0 < seen.value <= 2 * len(rows)
+
+
+def test_toxicity_vector_counts_the_features_of_the_restored_words():
+    index = {f: i for i, f in enumerate(["idiot$", "mor", "idio", "a$", "an$", "you$"])}
+    m = toxicity.Model(small_channel(), index, np.zeros((2, 6)), 0.0)
+    for t in ["you 1d10t, *** you are a moooron! -- an i d i o t", "a a an an?", "kind ... !!", "", None, "a.b.c.d a-b c_d e f g"] * 2:
+        words = m.channel.words(t)
+        want: dict = {}
+        for w, n in words.items():
+            for f in toxicity.features(w):
+                if f in index:
+                    want[index[f]] = want.get(index[f], 0) + n
+        found, total = m.vector(t)
+        assert (list(found.items()), total) == (list(want.items()), sum(words.values())), t
+
+
 def near_brute(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))

@@ -21,7 +21,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -32,7 +31,7 @@ from tidewatch.llm.langid import held_out
 
 SAMPLE, FEATURES, LEAST_DOCUMENTS = 20_000, 3000, 4
 PREFIXES = (3, 4, 5, 6, 7)
-FIRST, GUIDE, MANY, CACHED_LENGTH = -3.0, 1, 24, 64
+FIRST, MANY, CACHED_LENGTH, CACHED = -3.0, 24, 64, 500_000
 
 # What the channel may have done to a letter.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -44,6 +43,8 @@ EDGE_BEFORE, EDGE_AFTER = "%&\"'“”‘’[{<>.,;:¿-_/\\=", "%&.,;:\"'“”
 DROP_BEFORE, DROP_AFTER, DROP, DIGIT, BESIDE, WITHIN = {"(": 0.5, "¡": 0.5, "*": 2.0, "#": 2.0, "?": 0.5}, {"!": -2.0, "?": -4.0, "*": 3.5, "#": 3.5}, 5.0, float(np.log(10)), 2.0, 1.5
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?!\w)")
+# every match of APART holds this, which is found faster: its second and third letters
+WITHIN_APART = re.compile(r"[ .\-_*][^\W_][ .\-_*]{1,2}[^\W_][ .\-_*]")
 ODD = re.compile(r"[^\W\d_]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SUSPECT = re.compile(r"[0-9@$!|+(€£¡*#?.\-_~'’·]|([^\W\d_])\1\1")
@@ -68,14 +69,15 @@ def letter_slots() -> np.ndarray:
 def trigrams(text: str | None) -> np.ndarray:
     """Codes of a text's trigrams over lower-case letters, with one boundary between words."""
     if not text:
-        return np.empty(0, np.int64)
-    s = letter_slots()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    s = np.concatenate(([0], s, [0]))
+        return np.empty(0, np.int32)
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.zeros(len(codes) + 2, np.uint8)
+    s[1:-1] = letter_slots()[codes]
     keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    s = s[keep]
+    keep[1:] = (s[1:] | s[:-1]) != 0
+    s = s[keep].astype(np.int32)
     if len(s) < 3:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     return (s[:-2] << 14) | (s[1:-1] << 7) | s[2:]
 
 class Channel:
@@ -86,13 +88,20 @@ class Channel:
         self.ready = False
 
     def _prepare(self) -> None:
-        self.pair = pair = np.zeros(1 << 14)
+        pair = np.zeros(1 << 14)
         np.add.at(pair, self.codes >> 7, self.counts)
-        self.table = dict(zip(self.codes.tolist(), np.log((self.counts + 0.01) / (pair[self.codes >> 7] + 1.28)).tolist(), strict=True))
-        self.unseen = {int(p): float(np.log(0.01 / (pair[p] + 1.28))) for p in np.flatnonzero(pair)}
+        # steps[state << 7 | slot]: what a slot costs after a state (the last two letters' slots); a flat list is read fastest
+        self.steps = steps = [-5.0] * (1 << 21)
+        for p in np.flatnonzero(pair).tolist():
+            steps[p << 7 : (p + 1) << 7] = [float(np.log(0.01 / (pair[p] + 1.28)))] * 128
+        for code, s in zip(self.codes.tolist(), np.log((self.counts + 0.01) / (pair[self.codes >> 7] + 1.28)).tolist(), strict=True):
+            steps[code] = s
+        steps[:128] = [0.0] + [FIRST] * 127  # a word's first letter: trigrams begin at the boundary
+        steps[:: 1 << 14] = [0.0] * 128  # boundaries are one
         self.restore = lru_cache(200_000)(self._restore)
         slots = letter_slots()
-        self.slots = lru_cache(10_000)(lambda out: [int(slots[ord(ch)]) for ch in out])
+        self.slots = lru_cache(10_000)(lambda out: tuple(int(slots[ord(ch)]) for ch in out))
+        self.letter, self.sign = lru_cache(10_000)(self._letter), lru_cache(10_000)(self._sign)
         self.dense: np.ndarray | None = None
         self.ready = True
 
@@ -105,85 +114,125 @@ class Channel:
         # long tokens hardly recur: the cache's memory stays bounded
         return self.restore(t) if len(t) <= CACHED_LENGTH else self._restore(t)
 
-    def _restore(self, token: str) -> str:
-        """The best path's letters (and digits that are best left as they are); the token itself if it holds no disguise."""
-        if not SUSPECT.search(token):
-            return token
+    def _node(self, options: list[tuple[str, float]]) -> tuple[list[tuple[str, int, tuple[int, ...], float]], float]:
+        """What a position may stand for: (output, its slot if it is one letter, else 0, its slots, cost) of each option, and the least cost."""
+        slots = [self.slots(out) for out, _ in options]
+        return [(out, zs[0] if len(zs) == 1 else 0, zs, cost) for (out, cost), zs in zip(options, slots, strict=True)], min(cost for _, cost in options)
+
+    def _letter(self, c: str, n: int) -> tuple:
+        """The node of a letter that stands n times, 3 for more."""
+        return self._node([(c, 0.0)] if n == 1 else [(c + c, 0.0), (c, 1.0)] if n == 2 else [(c, 1.0), (c + c, 1.0)])
+
+    def _sign(self, c: str, beside: int, before: bool, after: bool, paired: bool) -> tuple:
+        """The node of what is no letter: a digit with `beside` letters beside it, or a sign at an edge, in a pair of them or within."""
+        options = [(x, 1.0) for x in LEET.get(c, "")]
+        if c in MASKS:
+            options += [(x, 3.0) for x in LETTERS]
+        if c.isdigit():
+            options.append((c, DIGIT + BESIDE * beside))
+        elif paired:
+            options.append(("", 0.0))
+        elif before or after:
+            options.append(("", min([DROP_BEFORE.get(c, DROP)] * before + [DROP_AFTER.get(c, DROP)] * after) if c in LEET or c in MASKS else WITHIN))
+        elif c in SEPARATORS or c in MASKS or not options:
+            options.append(("", WITHIN))
+        return self._node(options)
+
+    def _lattice(self, token: str) -> list[tuple]:
         first = next((k for k, c in enumerate(token) if c.isalnum()), len(token))
         last = len(token) - next((k for k, c in enumerate(reversed(token)) if c.isalnum()), len(token))
         paired = 0 < first and last < len(token) and token[first - 1] == token[last] in MASKS  # emphasis
-        # each position: (letters it may stand for, cost)
-        lattice: list[list[tuple[str, float]]] = []
+        lattice = []
         i = 0
         while i < len(token):
             c = token[i]
             if c.isalpha():
-                j = i
+                j = i + 1
                 while j < len(token) and token[j] == c:
                     j += 1
-                lattice += [[(c, 0.0)]] if j - i == 1 else [[(c + c, 0.0), (c, 1.0)]] if j - i == 2 else [[(c, 1.0), (c + c, 1.0)]]
+                lattice.append(self.letter(c, min(j - i, 3)))
                 i = j
                 continue
-            options = [(x, 1.0) for x in LEET.get(c, "")]
-            if c in MASKS:
-                options += [(x, 3.0) for x in LETTERS]
-            if c.isdigit():
-                options.append((c, DIGIT + BESIDE * sum(x.isalpha() for x in token[max(i - 1, 0) : i + 2])))
-            elif paired and c == token[last] and (i < first or i >= last):
-                options.append(("", 0.0))
-            elif i < first or i >= last:
-                options.append(("", min([DROP_BEFORE.get(c, DROP)] * (i < first) + [DROP_AFTER.get(c, DROP)] * (i >= last)) if c in LEET or c in MASKS else WITHIN))
-            elif c in SEPARATORS or c in MASKS or not options:
-                options.append(("", WITHIN))
-            lattice.append(options)
+            beside = sum(x.isalpha() for x in token[max(i - 1, 0) : i + 2]) if c.isdigit() else 0
+            before, after = i < first, i >= last
+            lattice.append(self.sign(c, beside, before, after, paired and c == token[last] and (before or after)))
             i += 1
+        return lattice
+
+    def _restore(self, token: str) -> str:
+        """The best path's letters (and digits that are best left as they are); the token itself if it holds no disguise."""
+        if not SUSPECT.search(token):
+            return token
+        lattice = self._lattice(token)
+        # up to the first choice there is one path
+        begin = next((k for k, (options, _) in enumerate(lattice) if len(options) > 1), len(lattice))
+        out = "".join([options[0][0] for options, _ in lattice[:begin]])
+        if begin == len(lattice):
+            return out
+        state, score = self._only(lattice[:begin], 0, 0.0)
+        lattice = lattice[begin:]
         # what is left costs this much at least: no step adds to a score
         rest = [0.0]
-        for options in reversed(lattice):
-            rest.append(rest[-1] + min(cost for _, cost in options))
+        for _, cost in reversed(lattice):
+            rest.append(rest[-1] + cost)
         rest = rest[-2::-1]
-        # a narrow search finds one whole path; in the full one only states that can't reach its score are left out
-        floor = self._search(lattice, rest, width=GUIDE)[0] - 0.01
-        chain = self._search(lattice, rest, floor=floor)[1]
-        out = []
+        # a greedy search finds one whole path; in the full one only states that can't reach its score are left out
+        at, s = self._only(lattice, state, score)
+        chain = self._search(lattice, rest, {state: (score, None)}, s + self.steps[at << 7] - 0.01)
+        pieces = []
         while chain:
             chain, piece = chain
-            out.append(piece)
-        return "".join(reversed(out))
-
-    def _search(self, lattice: list, rest: list[float], width: int = 0, floor: float = -np.inf) -> tuple[float, tuple | None]:
-        """The best path's score and its outputs, as a chain back to the start."""
-        # each state (the last two letters' slots): its best score, and its chain
-        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for options, least in zip(lattice, rest, strict=True):
+            pieces.append(piece)
+        return out + "".join(reversed(pieces))
+
+    def _only(self, lattice: list, state: int, score: float) -> tuple[int, float]:
+        """The state and score of the path that takes the best option at each position."""
+        table = self.steps
+        for options, _ in lattice:
+            best, to = -np.inf, 0
+            for _, z, zs, cost in options:
+                if z:
+                    at, s = (state & 127) << 7 | z, score - cost + table[state << 7 | z]
+                else:
+                    at, s = self._after(state, score - cost, zs)
+                if s > best:
+                    best, to = s, at
+            state, score = to, best
+        return state, score
+
+    def _after(self, state: int, score: float, zs: tuple[int, ...]) -> tuple[int, float]:
+        """The state and score after the slots of any output."""
+        for z in zs:
+            score += self.steps[state << 7 | z]
+            if z or state & 127:
+                state = (state & 127) << 7 | z
+        return state, score
+
+    def _search(self, lattice: list, rest: list[float], paths: dict[int, tuple[float, tuple | None]], floor: float) -> tuple | None:
+        """The best path's outputs, as a chain back to the start. `paths`: of each state its best score, and its chain."""
+        for (options, _), least in zip(lattice, rest, strict=True):
             paths = self._many(paths, options, floor + least) if len(paths) > MANY and len(options) > 4 else self._few(paths, options, floor + least)
-            if width and len(paths) > width:
-                paths = dict(nlargest(width, paths.items(), key=lambda p: p[1][0]))
-        return max(((s + self._step(state, 0), chain) for state, (s, chain) in paths.items()), key=lambda p: p[0])
+        return max(((s + self.steps[state << 7], chain) for state, (s, chain) in paths.items()), key=lambda p: p[0])[1]
 
-    def _few(self, paths: dict, options: list[tuple[str, float]], least: float = -np.inf) -> dict:
+    def _few(self, paths: dict, options: list[tuple], least: float) -> dict:
         """The states after one position that score `least` at least, and the best path to each."""
-        steps = [(out, self.slots(out), cost) for out, cost in options]
+        table = self.steps
         new: dict[int, tuple[float, tuple | None]] = {}
         for state, (score, chain) in paths.items():
-            for out, zs, cost in steps:
-                at, s = state, score - cost
-                for z in zs:
-                    s += self._step(at, z)
-                    at = (at & 127) << 7 | z if z or at & 127 else at
+            for out, z, zs, cost in options:
+                if z:
+                    at, s = (state & 127) << 7 | z, score - cost + table[state << 7 | z]
+                else:
+                    at, s = self._after(state, score - cost, zs)
                 if s >= least and (at not in new or s > new[at][0]):
                     new[at] = (s, (chain, out) if out else chain)
         return new
 
-    def _many(self, paths: dict, options: list[tuple[str, float]], least: float = -np.inf) -> dict:
+    def _many(self, paths: dict, options: list[tuple], least: float) -> dict:
         """As _few, for many states and options of one letter at most: all steps of the states with one last letter at once."""
         if self.dense is None:
-            self.dense = np.full((1 << 14, 128), -5.0, np.float32)
-            for pair, s in self.unseen.items():
-                self.dense[pair] = s
-            self.dense[self.codes >> 7, self.codes & 127] = np.log((self.counts + 0.01) / (self.pair[self.codes >> 7] + 1.28))
-            self.dense[0] = FIRST
-        single = [(out, self.slots(out)[0], cost) for out, cost in options if out]
+            self.dense = np.array(self.steps, np.float32).reshape(1 << 14, 128)
+        single = [(out, z, cost) for out, z, _, cost in options if out]
         zs, costs = np.array([z for _, z, _ in single]), np.array([c for _, _, c in single])
         new = self._few(paths, [o for o in options if not o[0]], least)
         groups: dict[int, list[int]] = {}
@@ -200,29 +249,31 @@ class Channel:
                     new[at] = (v, (paths[states[best[k]]][1], out))
         return new
 
-    def _step(self, state: int, c: int) -> float:
-        if state == 0:
-            return FIRST if c else 0.0  # a word's first letter: trigrams begin at the boundary
-        if not c and not state & 127:
-            return 0.0  # boundaries are one
-        return self.table.get(state << 7 | c) or self.unseen.get(state, -5.0)
+    def word(self, t: str) -> str:
+        """A lower-case token's restored word; empty if nothing is left."""
+        if not t.isalpha():
+            t = t.lstrip(EDGE_BEFORE).rstrip(EDGE_AFTER)
+        return self.token(t) if not t.isalpha() or REPEATED.search(t) else t
 
     def words(self, text: str | None) -> Counter:
         """Counts of restored words."""
-        if not text:
-            return Counter()
-        low = APART.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text.lower())
         out: Counter = Counter()
-        for t, n in Counter(low.split()).items():
-            if not t.isalpha():
-                t = t.lstrip(EDGE_BEFORE).rstrip(EDGE_AFTER)
-            if not t.isalpha() or REPEATED.search(t):
-                t = self.token(t)
-            if t:
-                out[t] += n
+        for t, n in Counter(tokens(text)).items():
+            if w := self.word(t):
+                out[w] += n
         return out
 
 
+def tokens(text: str | None) -> list[str]:
+    """A text's lower-case tokens; letters set apart are one."""
+    if not text:
+        return []
+    low = text.lower()
+    if WITHIN_APART.search(low):
+        low = APART.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), low)
+    return low.split()
+
+
 def features(word: str) -> list[str]:
     return [word + "$", *[word[:k] for k in PREFIXES if len(word) > k]]
 
@@ -238,12 +289,10 @@ def fit_channel(docs: DataFrame, text_col: str = "text") -> Channel:
                 waiting.append(trigrams(t))
                 size += len(waiting[-1])
                 if size > 2_000_000:
-                    codes, n = np.unique(np.concatenate(waiting), return_counts=True)
-                    total[codes] += n
+                    total += np.bincount(np.concatenate(waiting), minlength=1 << 21)
                     waiting, size = [], 0
         if waiting:
-            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
-            total[codes] += n
+            total += np.bincount(np.concatenate(waiting), minlength=1 << 21)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"code": at, "n": total[at]})
 
@@ -256,24 +305,33 @@ class Model:
 
     def __init__(self, channel: Channel, index: dict[str, int], weights: np.ndarray, bias: float):
         self.channel, self.index, self.weights, self.bias = channel, index, weights, bias
+        self.heads = {f[:3] for f in index}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "cache": {}}
 
+    def places(self, token: str) -> tuple[int, ...]:
+        """The features of a token's restored word; -1 alone if nothing is left of it."""
+        w = self.channel.word(token)
+        at = (-1,) if not w else tuple([self.index[f] for f in features(w) if f in self.index]) if (w + "$")[:3] in self.heads else ()
+        if len(token) <= CACHED_LENGTH:
+            if len(self.cache) >= CACHED:
+                self.cache.clear()
+            self.cache[token] = at
+        return at
+
     def vector(self, text: str | None) -> tuple[dict[int, int], int]:
         found: dict[int, int] = {}
-        total = 0
-        if len(self.cache) > 500_000:
-            self.cache.clear()
-        for w, n in self.channel.words(text).items():
-            total += n
-            at = self.cache.get(w)
+        every = tokens(text)
+        get = self.cache.get
+        for t, n in Counter(every).items():
+            at = get(t)
             if at is None:
-                at = self.cache[w] = tuple(self.index[f] for f in features(w) if f in self.index)
+                at = self.places(t)
             for k in at:
                 found[k] = found.get(k, 0) + n
-        return found, total
+        return found, len(every) - found.pop(-1, 0)
 
     def score(self, text: str | None) -> float:
         if not self.index:
@@ -326,23 +384,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shipped = spark.sparkContext.broadcast(channel)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: dict[str, list[int]] = {}
-        rows = [0, 0]
+        neg, pos = c = Counter(), Counter()
         for p in parts:
             for t, y in zip(p["_text"], p["_y"], strict=True):
-                rows[y] += 1
-                for f in {f for w in shipped.value.words(t) for f in features(w)}:
-                    c.setdefault(f, [0, 0])[y] += 1
-        yield pd.DataFrame([("", rows[1], rows[0]), *[(f, n[1], n[0]) for f, n in c.items()]], columns=["f", "pos", "neg"])
+                c[y].update({f for w in shipped.value.words(t) for f in features(w)})
+        yield pd.DataFrame([(f, pos[f], neg[f]) for f in neg.keys() | pos.keys()], columns=["f", "pos", "neg"])
 
-    sums = sample.mapInPandas(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = sums.filter((F.col("f") == "") | (F.col("pos") >= LEAST_DOCUMENTS))
-    whole = found.filter("f = ''").collect()
-    pos, neg = (whole[0]["pos"], whole[0]["neg"]) if whole else (0, 0)
+    # rows are counted apart, without their texts, so that the texts are decoded once for their features
+    number = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
+    pos, neg = number.get(1, 0), number.get(0, 0)
     if not pos or not neg:
         return Model(channel, {}, np.zeros((2, 0)), -30.0)
+    sums = sample.mapInPandas(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = sums.filter(F.col("pos") >= LEAST_DOCUMENTS)
     # a feature must at least be as common in positive documents before its statistic is worth sending
-    rated = found.filter((F.col("f") != "") & (F.col("pos") * neg > F.col("neg") * pos * 2)).withColumn("lift", F.col("pos") * F.log((F.col("pos") / pos) / ((F.col("neg") + 0.5) / neg)))
+    rated = found.filter(F.col("pos") * neg > F.col("neg") * pos * 2).withColumn("lift", F.col("pos") * F.log((F.col("pos") / pos) / ((F.col("neg") + 0.5) / neg)))
     table = rated.orderBy(F.desc("lift"), "f").limit(4 * FEATURES).toPandas()
     g = _statistic(table["pos"].to_numpy(float), table["neg"].to_numpy(float), pos, neg)
     best = np.argsort(-g, kind="stable")[:FEATURES]
